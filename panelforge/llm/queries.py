@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_output
+from . import packing, prefix_bpe, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -16,6 +17,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.labelled_rows(docs, read_table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        (~toxicity.in_training()).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_output.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_output.read_tokens(shards)
@@ -26,7 +43,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op6_token_output, op10_best_fit_packing)
+_OPERATORS = (op4_prefix_table, op5_toxicity, op6_token_output, op10_best_fit_packing)
 
 
 def _with_package(query):
