@@ -43,6 +43,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized_hint(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (a written table of narrow rows) marked for a join: broadcast up to ``rows`` rows, else sorted and merged."""
+    return df.hint("broadcast" if df.limit(rows + 1).count() <= rows else "merge")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
