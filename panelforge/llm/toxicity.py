@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import arrow_batches, written
 
 #: Lengths of n-grams in bytes, and bits of the feature table.
 ORDERS = (4, 5, 6, 7)
@@ -57,75 +57,74 @@ def features(text: str | None, kept: np.ndarray | None = None) -> np.ndarray:
 
 
 def slot_counts(labelled: DataFrame) -> DataFrame:
-    """``toxic, slot, n``: in how many texts of either class each slot occurs, over all labelled rows.
+    """``slot, clean, toxic``: in how many texts of either class each slot occurs, over all labelled rows.
 
-    Each task sums its own texts first, so at most one row a slot and class leaves it.
+    Slot -1 counts the texts. Each task sums its own texts first, so at most one row a slot leaves it.
     """
     arrow_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
-        seen = np.zeros(2, dtype=np.int64)
+        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+        seen = np.zeros(2, dtype=np.int32)
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts[toxic][features(text)] += 1
                 seen[toxic] += 1
-        for toxic in (0, 1):
-            slots = np.flatnonzero(counts[toxic])
-            rows = np.concatenate([[-1], slots])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), toxic), pa.int32()), pa.array(rows, pa.int32()), pa.array(np.concatenate([[seen[toxic]], counts[toxic][slots]]), pa.int64())],
-                names=["toxic", "slot", "n"],
-            )
+        slots = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
+        for at in range(0, len(slots), 1 << 16):
+            part = slots[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["slot", "clean", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (-1, *seen.tolist())], names=["slot", "clean", "toxic"])
 
     counted = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").where("toxic in (0, 1)")
-    return counted.mapInArrow(run, "toxic int, slot int, n long").groupBy("toxic", "slot").agg(F.sum("n").alias("n"))
+    counts = counted.mapInArrow(run, "slot int, clean int, toxic int")
+    return counts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, tells: float = 2.5, seed: int = 0) -> Model:
+def telling_slots(counts: DataFrame, clean: int, toxic: int, tells: float) -> DataFrame:
+    """``slot, ratio`` of the slots whose smoothed shares in the classes differ by over ``tells`` standard errors."""
+    p, q = (F.col("toxic") + 1) / F.lit(toxic + 2.0), (F.col("clean") + 1) / F.lit(clean + 2.0)
+    error = F.sqrt(p * (1 - p) / float(toxic) + q * (1 - q) / float(clean))
+    return counts.where("slot >= 0").where(F.abs(p - q) > F.lit(tells) * error).select("slot", F.log(p / q).alias("ratio"))
+
+
+def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float = 2.5, seed: int = 0) -> Model:
     """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
 
-    The class counts cover all labelled rows; their table is bounded by the number of slots. A slot is
-    kept where the two frequencies lie more than ``tells`` standard errors apart. The regression fits
-    on at most ``sample_rows`` rows of each class, taken by a hash of the id. Without both classes the
-    score is the constant 0.
+    The class counts cover all labelled rows; only telling slots reach the driver, as many as the table
+    has at most. The regression fits on about ``sample_rows`` rows of each class at most, taken by a
+    hash of the id. Without both classes the score is the constant 0.
     """
     spark = labelled.sparkSession
-    counts = slot_counts(labelled).toArrow()
-    toxic, slot, n = (counts.column(i).to_numpy() for i in range(3))
-    totals = np.array([n[(slot == -1) & (toxic == c)].sum() for c in (0, 1)], dtype=float)
-    if totals.min() == 0:
+    counts = written(slot_counts(labelled))
+    totals = counts.where("slot = -1").first()
+    if totals is None or not (totals["clean"] and totals["toxic"]):
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
-    per = np.zeros((2, 1 << BITS))
-    real = slot >= 0
-    per[toxic[real], slot[real]] = n[real]
-    share = (per + 1) / (totals[:, None] + 2)
-    ratio = np.log(share[1] / share[0]).astype(np.float32)
-    error = np.sqrt((share * (1 - share) / totals[:, None]).sum(axis=0))
-    kept = np.abs(share[1] - share[0]) > tells * error
-    index = np.cumsum(kept) - 1
-    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text", F.xxhash64("doc_id", F.lit(seed)).alias("h")).where("toxic in (0, 1)")
-    fraction = [min(1.0, 1.2 * sample_rows / t) for t in totals]
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < F.when(F.col("toxic") == 1, F.lit(fraction[1] * 2**20)).otherwise(F.lit(fraction[0] * 2**20)))
-
-    bits = np.packbits(kept)
+    telling = telling_slots(counts, totals["clean"], totals["toxic"], tells).orderBy("slot").toArrow()
+    slots, scale = telling.column("slot").to_numpy(), telling.column("ratio").to_numpy()
+    index = np.full(1 << BITS, -1, dtype=np.int32)
+    index[slots] = np.arange(len(slots), dtype=np.int32)
+    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).alias("h"))
+    part = [min(1.0, sample_rows / totals[c]) * 2**20 for c in ("clean", "toxic")]
+    rows = rows.where(F.col("h") < F.when(F.col("toxic") == 1, F.lit(part[1])).when(F.col("toxic") == 0, F.lit(part[0])))
+    sent = spark.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(bits).astype(bool)
+        mask = np.zeros(1 << BITS, dtype=bool)
+        mask[sent.value] = True
         for b in batches:
             found = [features(t, mask).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "slots"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    sample = rows.mapInArrow(run, "toxic int, slots array<int>").toArrow()
+    sample = rows.select("toxic", "text").mapInArrow(run, "toxic int, slots array<int>").toArrow()
     y = sample.column("toxic").to_numpy().astype(np.float64)
     lists = sample.column("slots").combine_chunks()
-    columns = index[lists.flatten().to_numpy()] if len(lists) else np.zeros(0, dtype=int)
-    owner = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    scale = ratio[kept].astype(np.float64)
-    weight, bias = _logistic(owner, columns, scale, y)
+    lengths = np.diff(lists.offsets.to_numpy())
+    column = index[lists.flatten().to_numpy()]
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    weight, bias = _logistic(owner, column, scale, y)
     table = np.zeros(1 << BITS, dtype=np.float32)
-    table[kept] = weight * scale
+    table[slots] = weight * scale
     return Model(table, bias)
 
 
