@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import arrow_batches, sized_hint, written
 
 #: Lengths of n-grams in bytes, and bits of the feature table.
-ORDERS = (4, 5, 6, 7)
-BITS = 20
+ORDERS = (4, 5)
+BITS = 18
 
 
 @dataclass
@@ -81,18 +81,18 @@ def slot_counts(labelled: DataFrame) -> DataFrame:
     return counts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def telling_slots(counts: DataFrame, clean: int, toxic: int, tells: float) -> DataFrame:
-    """``slot, ratio`` of the slots whose smoothed shares in the classes differ by over ``tells`` standard errors."""
+def telling_slots(counts: DataFrame, clean: int, toxic: int, tells: float, most: int) -> DataFrame:
+    """``slot, ratio`` of the ``most`` telling slots, by the standard errors that their smoothed shares lie apart."""
     p, q = (F.col("toxic") + 1) / F.lit(toxic + 2.0), (F.col("clean") + 1) / F.lit(clean + 2.0)
     error = F.sqrt(p * (1 - p) / float(toxic) + q * (1 - q) / float(clean))
-    return counts.where("slot >= 0").where(F.abs(p - q) > F.lit(tells) * error).select("slot", F.log(p / q).alias("ratio"))
+    apart = counts.where("slot >= 0").select("slot", F.log(p / q).alias("ratio"), (F.abs(p - q) / error).alias("apart"))
+    return apart.where(F.col("apart") > tells).orderBy(F.desc("apart"), "slot").limit(most).select("slot", "ratio")
 
 
-def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float = 2.5, seed: int = 0) -> Model:
+def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float = 3.0, most: int = 10_000, seed: int = 0) -> Model:
     """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
 
-    The class counts cover all labelled rows; only telling slots reach the driver, as many as the table
-    has at most. The regression fits on about ``sample_rows`` rows of each class at most, taken by a
+    The class counts cover all labelled rows; only the ``most`` telling slots become features. The regression fits on about ``sample_rows`` rows of each class at most, taken by a
     hash of the id. Without both classes the score is the constant 0.
     """
     spark = labelled.sparkSession
@@ -100,7 +100,7 @@ def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float = 2.5, se
     totals = counts.where("slot = -1").first()
     if totals is None or not (totals["clean"] and totals["toxic"]):
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
-    telling = telling_slots(counts, totals["clean"], totals["toxic"], tells).orderBy("slot").toArrow()
+    telling = telling_slots(counts, totals["clean"], totals["toxic"], tells, most).toArrow()
     slots, scale = telling.column("slot").to_numpy(), telling.column("ratio").to_numpy()
     index = np.full(1 << BITS, -1, dtype=np.int32)
     index[slots] = np.arange(len(slots), dtype=np.int32)
@@ -132,7 +132,7 @@ def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.nd
     """Weights and bias of a logistic regression over sparse features (owner, column) of size ``scale``."""
     rows, width = len(y), len(scale)
     weight, bias = np.zeros(width), float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / max(rows, 1)
+    balance = 1 / max(rows, 1)
     first, second = np.zeros(width + 1), np.zeros(width + 1)
     value = scale[column]
     for step in range(1, steps + 1):
@@ -185,4 +185,4 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A document with several labels counts once for each of them; ids without a text or label are left out.
     """
     known = labels.where(in_training()).select("doc_id", "toxic").where("toxic is not null")
-    return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
+    return docs.select("doc_id", "text").join(sized_hint(written(known)), "doc_id")
