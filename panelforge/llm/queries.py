@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, prefix_bpe, suffixes, token_output, toxicity
+from . import html_extract, minhash, packing, prefix_bpe, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -52,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op2_suffix_dedup, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op10_best_fit_packing)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op10_best_fit_packing)
 
 
 def _with_package(query):
