@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, minhash, packing, prefix_bpe, suffixes, token_output, toxicity
+from . import html_extract, minhash, multi_index, packing, prefix_bpe, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -52,12 +52,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.links(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op10_best_fit_packing)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op9_multi_index, op10_best_fit_packing)
 
 
 def _with_package(query):
