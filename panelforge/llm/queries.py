@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, minhash, multi_index, packing, prefix_bpe, suffixes, token_output, toxicity
+from . import fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -27,6 +27,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op4_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digest_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -61,7 +65,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op9_multi_index, op10_best_fit_packing)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op9_multi_index, op10_best_fit_packing)
 
 
 def _with_package(query):
