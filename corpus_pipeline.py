@@ -1,0 +1,63 @@
+"""From raw documents to packed sequences: four stages, each over all that the one before it kept.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import minhash, packing, suffixes, toxicity
+from panelforge.llm.common import read_table, ship, written
+from panelforge.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.7 stay, as they are."""
+    ship(spark)
+    model = toxicity.train(toxicity.labelled_rows(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).where("score < 0.7").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays, once if its row is repeated."""
+    ship(spark)
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    joined = docs.join(written(kept).hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    return joined.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes or more that stand elsewhere too go; documents with nothing left go."""
+    ship(spark)
+    cut = suffixes.remove_repeats(docs.select(*COLUMNS))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text")
+    left = (F.col("n_removed") == 0) | (F.trim("kept_text") != "")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
+    return cut.where(left).select("doc_id", text, "lang", "source", n_chars)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place in it."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("suffix_dedup", drop_repeats), ("packing", pack)]
+
+#: No stage can be expressed in SQL as a whole; tests hold each against a plain version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written as Parquet and read again by the next."""
+    ship(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, suffixes, token_output, toxicity
+from . import fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -56,6 +56,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(read_table(spark, sf_dir, "conversations"))
+
+
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.links(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -65,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op9_multi_index, op10_best_fit_packing)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing)
 
 
 def _with_package(query):
@@ -78,7 +82,9 @@ def _with_package(query):
 
 
 def queries() -> dict:
-    return {f.__name__: _with_package(f) for f in _OPERATORS}
+    import corpus_pipeline
+
+    return {f.__name__: _with_package(f) for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
