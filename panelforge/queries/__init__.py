@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_CATEGORIES: list[str] = []
+_CATEGORIES = ["relational", "windowed"]
 
 
 def _modules():
@@ -20,4 +20,6 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    from ..plans.season import flagship
+
+    return flagship(spark, sf_dir)
