@@ -31,7 +31,19 @@ def written(df: DataFrame, sort_cols: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     (df.sortWithinPartitions(*sort_cols) if sort_cols else df).write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more."""
+    for df in tables:
+        path = df.__dict__.pop("_written_to", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
@@ -58,10 +70,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     one_way = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     links = written(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = written(links.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")))
-    while True:
+    labels = written(links.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"), F.lit(True).alias("moved")))
+    while labels.where("moved").limit(1).count():
         near = (
-            links.join(labels.hint("merge"), links.v == labels.node)
+            links.join(labels.select("node", "component").hint("merge"), links.v == labels.node)
             .groupBy("u")
             .agg(F.min("component").alias("near"))
         )
@@ -72,11 +84,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         onward = labels.select(F.col("node").alias("at"), F.col("component").alias("onward"))
         jumped = written(
             step.join(onward.hint("merge"), step.hop == onward["at"], "left")
-            .select("node", "old", F.least("hop", F.coalesce("onward", "hop")).alias("component"))
+            .select("node", F.least("hop", F.coalesce("onward", "hop")).alias("component"), (F.least("hop", F.coalesce("onward", "hop")) != F.col("old")).alias("moved"))
         )
-        labels = jumped.select("node", "component")
-        if jumped.where("component <> old").limit(1).count() == 0:
-            return labels
+        forget(labels)
+        labels = jumped
+    forget(links)
+    out = labels.select("node", "component")
+    out._written_to = labels._written_to
+    return out
 
 
 _shipped: set[str] = set()

@@ -1,11 +1,12 @@
 """Near duplicates by MinHash: a signature-coordinate inverted join, confirmed on full shingle sets.
 
-Every distinct shingle set gets a signature of ``COORDINATES`` minima. Two sets are compared where at
-least ``MATCHES`` coordinates agree; ``MATCHES`` lies so far under what is expected at the threshold that
-a pair is missed with a probability under 1e-9. Documents are posted under coordinate-value pairs. If
-``MATCHES`` of the coordinates must agree, so must a pair among the prefix: the coordinates are posted
-two together, and as many twos as can't all disagree. The other coordinates are never posted; they are
-skipped to and counted only for pairs that met in the prefix.
+Every distinct shingle set gets a signature of ``COORDINATES`` minima. Two sets are compared on their full
+sets where at least a number of coordinates agree, chosen from the threshold so that a pair exactly at
+it has fewer with a probability under ``MISSED`` (pairs above it far less). Documents are posted under
+coordinate-value pairs. If m of the coordinates must agree, COORDINATES - m can disagree, and so among
+COORDINATES - m + 1 disjoint groups of coordinates one agrees as a whole: these groups are the prefix that
+is posted, three coordinates together where so many groups fit, else two. The other coordinates are
+never posted; they are skipped to and counted only for sets that met in the prefix.
 
 Copies of a set are one class and post once. Within a posting each class meets the smallest class of
 the posting first; links found so make components, and only classes of one posting in different
@@ -15,6 +16,7 @@ one comparison each, and no link between different components is passed over.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +24,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batches, connected_components, sized_hint, written
+from .common import NO_ID, arrow_batches, connected_components, forget, sized_hint, written
 
-#: Coordinates of a signature and those that must agree. At most 38 can then disagree, each spoils one
-#: two of coordinates at most, and so 39 disjoint twos can't all be spoilt: these are posted.
-COORDINATES = 96
-MATCHES = 58
-POSTED = COORDINATES - MATCHES + 1
+COORDINATES = 128
+#: Probability with which a pair exactly at the threshold may fail to agree on enough coordinates.
+MISSED = 1e-6
 
 #: Classes of one posting that meet in one task at a time.
-BLOCK = 512
+BLOCK = 2048
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
+def prefix(percent: int) -> tuple[int, int, int]:
+    """Coordinates that must agree at a threshold, groups that are posted, and coordinates of a group."""
+    p, tail, m = percent / 100, 0.0, 0
+    while m < COORDINATES:
+        tail += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail > MISSED:
+            break
+        m += 1
+    groups = COORDINATES - m + 1
+    return m, groups, max(1, min(3, COORDINATES // groups))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * _MIX
@@ -126,27 +138,32 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long, n_shingles long, node binary, sig binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """``key, node``: a class under each posted two of its coordinates, as one 64-bit key."""
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
+    """``place, key, node``: a class under each posted group of its coordinates, as a 64-bit key."""
+    _, groups, width = prefix(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.arange(POSTED, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        places = np.arange(groups, dtype=np.int16)
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-            keys = _mixed((sig[:, 0 : 2 * POSTED : 2] << np.uint64(32) | sig[:, 1 : 2 * POSTED : 2]) + place).view(np.int64)
-            nodes = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), POSTED)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), nodes], names=["key", "node"])
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+            part = sig[:, : groups * width].reshape(len(sig), groups, width).astype(np.uint64)
+            keys = _mixed(places.astype(np.uint64) + np.uint64(1)) + np.zeros((len(sig), groups), dtype=np.uint64)
+            for k in range(width):
+                keys = _mixed(keys * np.uint64(0xD6E8FEB86659FD93) + part[:, :, k])
+            nodes = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), groups)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(places, len(sig))), pa.array(keys.view(np.int64).ravel()), nodes], names=["place", "key", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, node binary")
+    return classes.select("node", "sig").mapInArrow(run, "place short, key long, node binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree on ``MATCHES`` coordinates and whose sizes allow a link."""
+    """The pairs ``a, b`` whose signatures agree on enough coordinates and whose sizes allow a link."""
+    least = prefix(percent)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            near = pa.array((x == y).sum(axis=1) >= MATCHES)
+            near = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
 
     left = classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
@@ -156,18 +173,22 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _meeting(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Agreeing pairs ``a, b`` of different components among the ``key, node, component, n_shingles, sig`` of postings.
+def _meeting(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Agreeing pairs ``a, b`` of different components among the classes of each posting, each pair once.
 
-    A posting is dealt into blocks, and every two blocks meet in one place, so no task holds more than
-    two. ``best`` keeps for each class only the partner that agrees most, where there are several.
+    Postings of one component are left out before signatures are fetched. A posting is dealt into
+    blocks, and every two blocks meet in one place, so no task holds more than two. A pair is given
+    where it first shares a posting. ``best`` keeps for each class only the partner that agrees most.
     """
+    least, groups, width = prefix(percent)
+    members = shared.select("place", "key", "node").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("one"), F.max("component").alias("two"))
     blocks = sizes.where("one <> two").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("node", "n_shingles", "sig").hint("merge"), "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = dealt.select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n_shingles", "sig"
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n_shingles", "sig", "place"
     )
     placed = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
@@ -175,7 +196,7 @@ def _meeting(members: DataFrame, percent: int, best: bool) -> DataFrame:
         sig = np.frombuffer(b"".join([r[7] for r in rows]), dtype=np.uint32).reshape(-1, COORDINATES)
         parts = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in rows))}
         part = np.array([parts[r[5]] for r in rows])
-        own, n = np.array([r[3] for r in rows]), np.array([r[6] for r in rows])
+        own, n, place = np.array([r[3] for r in rows]), np.array([r[6] for r in rows]), rows[0][8]
         a, b = [], []
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
@@ -185,11 +206,14 @@ def _meeting(members: DataFrame, percent: int, best: bool) -> DataFrame:
             at = np.flatnonzero(may) + i + 1
             if not len(at):
                 continue
-            agree = (sig[at] == sig[i]).sum(axis=1)
+            same = sig[at] == sig[i]
+            agree = same.sum(axis=1)
+            first = same[:, : groups * width].reshape(len(at), groups, width).all(axis=2).argmax(axis=1) == place
+            good = (agree >= least) & first
+            at, agree = at[good], agree[good]
             if best and len(at) > 1:
-                top = int(agree.argmax())
-                at, agree = at[top : top + 1], agree[top : top + 1]
-            for j in at[agree >= MATCHES].tolist():
+                at = at[[int(agree.argmax())]]
+            for j in at.tolist():
                 a.append(rows[i][4])
                 b.append(rows[j][4])
         return a, b
@@ -210,7 +234,7 @@ def _meeting(members: DataFrame, percent: int, best: bool) -> DataFrame:
             a, b = met(held)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a binary, b binary").distinct()
+    return placed.mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -236,10 +260,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")  # pairs of one ``a`` come one after the other
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean"))
+    out = written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean"))
+    forget(pairs, wanted, texts)
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
 
     Rows are linked where 100 * intersection >= ``percent`` * union of their shingle sets, of ``words``
@@ -255,26 +281,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rounds:
         .groupBy("node")
         .agg(F.min(F.struct("id", "fp")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     )
-    postings = written(_postings(classes))
+    postings = written(_postings(classes, percent))
     centers = postings.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(postings.join(centers.hint("merge"), "key").where("node <> center"))
+    forget(postings)
     star = shared.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     tested = _confirmed(_agreeing(star, classes, percent), classes, docs, words, percent)
     components = connected_components(tested.where("linked"))
-    for r in range(rounds + 1):
-        members = (
-            shared.select("key", "node")
-            .join(classes.select("node", "n_shingles", "sig").hint("merge"), "node")
-            .join(components.hint("merge"), "node", "left")
-            .withColumn("component", F.coalesce("component", "node"))
-        )
-        pairs = _meeting(members, percent, best=r < rounds)
+    for best in (True, False):
+        pairs = _meeting(shared, components, classes, percent, best)
         pairs = written(pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
             more = _confirmed(pairs, classes, docs, words, percent)
+            all_tested = written(tested.unionByName(more))
             if more.where("linked").limit(1).count():
-                components = connected_components(tested.unionByName(more).where("linked"))
-            tested = tested.unionByName(more)
+                known = components
+                components = connected_components(all_tested.where("linked"))
+                forget(known)
+            forget(tested, more)
+            tested = all_tested
+        forget(pairs)
+    forget(shared, tested)
     ids = classes.select("node", F.col("rep.id").alias("id")).join(components.hint("merge"), "node", "left")
     ids = ids.withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("id").alias("least"))
