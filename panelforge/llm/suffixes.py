@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batches, sized_hint, written
+from .common import NO_ID, arrow_batches, forget, written
 
 LARGEST = 4000
 #: Multikey quicksort compares this many bytes at once, up to this depth.
@@ -214,6 +214,9 @@ def _by_sorting(contexts: DataFrame, length: int) -> DataFrame:
     """``id, fp, start, stop`` of the single contexts of each group, the groups sorted one after the other."""
 
     def solved(rows: list) -> list[tuple]:
+        rows = list({r[1]: r for r in rows}.values())
+        if len(rows) < 2:
+            return []
         back, ahead = resolve([r[6][::-1] for r in rows], [r[7] for r in rows], length)
         return [(r[3], r[4], r[5] - x, r[5] + y) for r, x, y in zip(rows, back.tolist(), ahead.tolist()) if y and r[2] == 1]
 
@@ -275,6 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100) -> DataF
     anchors = written(_anchors(rows, length, gram))
     twice = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     alive = written(anchors.join(twice.hint("merge"), "key"))
+    forget(anchors)
     contexts = written(
         alive.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "pos", "back", "ahead")).alias("rep"))
     )
@@ -285,21 +289,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100) -> DataF
     )
     groups = contexts.groupBy("key").agg(F.count("*").alias("variants"), F.min("n").alias("least")).where("variants > 1 and least = 1")
     open_ = written(contexts.join(groups.select("key", "variants").hint("merge"), "key").select("key", "context", "n", "variants", "rep.*"))
-    cut = (
-        rows.join(sized_hint(open_, 500_000), ["id", "fp"])
-        .withColumn("raw", F.col("text").cast("binary"))
-        .select(
-            "key", "context", "n", "variants", "id", "fp", "pos",
-            F.expr("substring(raw, pos - back + 1, back)").alias("before"),
-            F.expr("substring(raw, pos + 1, ahead)").alias("after"),
-        )
-    )
-    cut = written(cut.dropDuplicates(["key", "context"]))
-    found = settled.unionByName(_by_sorting(cut.where(F.col("variants") <= LARGEST), length))
-    large = cut.where(F.col("variants") > LARGEST)
+
+    def cut(some: DataFrame) -> DataFrame:
+        """Contexts with what stands before and after; repeated rows of a text give repeated contexts."""
+        raw = rows.select("id", "fp", F.col("text").cast("binary").alias("raw")).join(some.hint("merge"), ["id", "fp"])
+        before, after = F.expr("substring(raw, pos - back + 1, back)"), F.expr("substring(raw, pos + 1, ahead)")
+        return raw.select("key", "context", "n", "id", "fp", "pos", before.alias("before"), after.alias("after"))
+
+    found = settled.unionByName(_by_sorting(cut(open_.where(F.col("variants") <= LARGEST)), length))
+    large = open_.where(F.col("variants") > LARGEST)
     if large.limit(1).count():
-        found = found.unionByName(_by_counting(large, length, gram))
-    return found.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+        found = found.unionByName(_by_counting(written(cut(large).dropDuplicates(["key", "context"])), length, gram))
+    spans = written(found.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+    forget(alive, contexts, open_)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 100) -> DataFrame:
