@@ -41,12 +41,12 @@ def w4_rolling(spark, sf_dir):
     return rounded(out.select("entity", "season", "session", *[c for c in out.columns if c.endswith("_last5")]))
 
 
-@query(f"""{ALL}, g AS (SELECT entity, season, round(target, 6) AS t, CASE WHEN k_pct > 0.45 THEN round(k_pct, 2) END AS kk FROM panel)
+@query(f"""{ALL}, g AS (SELECT entity, season, round(target, 6) AS t, CASE WHEN k_pct > 0.45 THEN floor(k_pct * 40) END AS kk FROM panel)
 SELECT entity, season, CAST(CASE WHEN kk IS NOT NULL THEN rank() OVER (PARTITION BY season ORDER BY kk DESC NULLS LAST) END AS INT) AS place,
 round(CASE WHEN kk IS NOT NULL THEN (rank() OVER (PARTITION BY season ORDER BY kk ASC NULLS LAST) + (count(kk) OVER (PARTITION BY season, kk) - 1) / 2) / count(kk) OVER (PARTITION BY season) END, 6) AS share,
 CAST(row_number() OVER (PARTITION BY season ORDER BY t DESC, entity) AS INT) AS position FROM g""")
 def w7_w8_w9_w10_ranks(spark, sf_dir):
-    g = panel(spark, sf_dir).select("entity", "season", F.round("target", 6).alias("t"), F.when(F.col("k_pct") > 0.45, F.round("k_pct", 2)).alias("kk"))
+    g = panel(spark, sf_dir).select("entity", "season", F.round("target", 6).alias("t"), F.when(F.col("k_pct") > 0.45, F.floor(F.col("k_pct") * 40)).alias("kk"))
     row = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("t"), "entity"))
     return rounded(g.select("entity", "season", W.competition_rank("kk", "season").alias("place"), W.percent_rank_mean_ties("kk", "season").alias("share"), row.alias("position")))
 

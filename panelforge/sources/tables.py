@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG_SCHEMA = T.StructType.fromDDL(
+LOG_SCHEMA = (
     "run_ts timestamp, phase string, type string, label string, tag string, feats array<string>, n long, n_transitions int, "
     "r double, k_bias_hi double, k_bias_lo double, rmse double, score double"
 )
@@ -87,7 +87,7 @@ def write_seasons(df: DataFrame, path: str) -> None:
 
 def append_log(df: DataFrame, path: str) -> None:
     """Add evaluation records under the fixed schema."""
-    with_schema(df, LOG_SCHEMA).write.mode("append").parquet(path)
+    with_schema(df, T.StructType.fromDDL(LOG_SCHEMA)).write.mode("append").parquet(path)
 
 
 def stats_from_json(df: DataFrame, payload: str, fields: Mapping[str, str]) -> DataFrame:
