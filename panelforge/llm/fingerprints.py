@@ -34,11 +34,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda p: p != "")
 
 
+def _hashed(parts: Column, seed: int) -> Column:
+    return F.transform(parts, lambda p: F.xxhash64(p, F.lit(seed)))
+
+
 def vector(parts: Column) -> Column:
     """The sum of the vectors of ``parts``: packed counts, then the paragraph count and the wide sum."""
     sums: list[Column] = []
     for k in range(HASHES):
-        hashed = F.transform(parts, lambda p, k=k: F.xxhash64(p, F.lit(k)))
+        hashed = _hashed(parts, k)
         zero = F.array_repeat(F.lit(0).cast("long"), SHIFTS)
         sums.append(
             F.aggregate(
