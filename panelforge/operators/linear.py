@@ -175,12 +175,12 @@ def out_of_season(df: DataFrame, features: Sequence[str], target: str, season: s
     return predict_by(df.na.drop(subset=[*features, target]), table, "held_out", F.col(season), features)
 
 
-def cross_season(pairs: DataFrame, panel: DataFrame, features: Sequence[str], target: str, season: str = "season", alpha: float | None = None) -> DataFrame:
+def cross_season(pairs: DataFrame, panel: DataFrame, features: Sequence[str], target: str, season: str = "season", alpha: float | None = None, least_rows: int = 50) -> DataFrame:
     """Next season's target predicted from this season's features, by models of the seasons before it.
 
     ``pairs`` come from ``lag_join``; the model for ``to_season`` is fitted on panel seasons before it.
     """
-    fits = held_out_fits(moments(panel, features, target, season), mode="past_only", alpha=alpha)
+    fits = held_out_fits(moments(panel, features, target, season), mode="past_only", alpha=alpha, least_rows=least_rows)
     table = coefficient_table(panel.sparkSession, fits)
     return predict_by(pairs.na.drop(subset=[*features, f"next_{target}"]), table, "held_out", F.col("to_season"), features)
 

@@ -59,7 +59,7 @@ def m3_out_of_season(spark, sf_dir):
 SELECT to_season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(pred - target), 4) AS bias FROM e GROUP BY ALL""")
 def m4_cross_season(spark, sf_dir):
     p = panel(spark, sf_dir)
-    out = L.cross_season(P.lag_join(p, "entity", "season", ["k_pct"], "target"), p, ["k_pct"], "target", alpha=1.0)
+    out = L.cross_season(P.lag_join(p, "entity", "season", ["k_pct"], "target"), p, ["k_pct"], "target", alpha=1.0, least_rows=2)
     return rounded(out.groupBy("to_season").agg(*L.metrics("next_target", "pred")).drop("mae"), 4)
 
 
