@@ -44,6 +44,7 @@ def prefix(percent: int) -> tuple[int, int, int]:
         if tail > MISSED:
             break
         m += 1
+    m = max(m, 1)
     groups = COORDINATES - m + 1
     return m, groups, max(1, min(3, COORDINATES // groups))
 

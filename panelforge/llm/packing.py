@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces with certified bin counts and exchange between partitions.
 
 Each partition packs its pieces by best-fit decreasing. Dual feasible functions give a lower bound on
-the bins that its pieces need; where the count equals the bound the partition is done, certified.
+the bins that its pieces need; where the count equals the bound the partition is done, certified. Else
+the pieces of its emptiest bins and of some others are packed again, as long as that gains.
 Partitions with a gap hand the pieces of their emptiest bins to the next round, in which fewer
 partitions receive the pieces of several, pack them together and are certified in turn. Each round
 holds only what partitions exchange, which is a bounded number of bins a partition.
@@ -67,11 +68,86 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, dtype=np.int64)
 
 
+def exact_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing bin by bin: each is closed by the one piece, or the two, that fill it exactly, if there are any."""
+    bins = np.zeros(len(lengths), dtype=np.int64)
+    offsets = np.zeros(len(lengths), dtype=np.int64)
+    left: list[list[int]] = [[] for _ in range(capacity + 1)]  # by length
+    for i in range(len(lengths) - 1, -1, -1):
+        left[int(lengths[i])].append(i)
+    count = np.bincount(lengths, minlength=capacity + 1)
+    sizes = sum(1 << n for n in np.flatnonzero(count).tolist())  # a bit for each length that is left
+    fill: list[int] = []
+
+    def put(n: int) -> None:
+        nonlocal sizes
+        i = left[n].pop()
+        bins[i], offsets[i] = len(fill) - 1, fill[-1]
+        fill[-1] += n
+        count[n] -= 1
+        if not count[n]:
+            sizes &= ~(1 << n)
+
+    while sizes:
+        fill.append(0)
+        put(sizes.bit_length() - 1)
+        while room := capacity - fill[-1]:
+            fits = sizes & ((1 << (room + 1)) - 1)
+            if not fits:
+                break
+            largest = fits.bit_length() - 1
+            if largest < room:
+                half = count[1:room]
+                pairs = np.flatnonzero((half > 0) & (half[::-1] > 0))[::-1] + 1
+                pair = next(((x, room - x) for x in pairs[:2].tolist() if x != room - x or count[x] > 1), None)
+                if pair:
+                    put(pair[0])
+                    put(pair[1])
+                    break
+            put(largest)
+    return bins, offsets, np.array(fill, dtype=np.int64)
+
+
+def repack(lengths: np.ndarray, capacity: int, emptiest: int = 24, others: int = 100, tries: int = 240, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best-fit decreasing, then packed again in parts until the lower bound certifies the count.
+
+    Each time the pieces of the ``emptiest`` bins and of ``others`` at random are packed anew; what comes
+    out stays if it has fewer bins, or as many and emptier ones. ``tries`` without gain end it.
+    """
+    bins, offsets, fill = best_fit(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
+    rng = np.random.default_rng(seed)
+    failed, n_bins = 0, len(fill)
+    members = np.split(np.argsort(bins, kind="stable"), np.cumsum(np.bincount(bins, minlength=n_bins))[:-1]) if n_bins else []
+    while n_bins > bound and failed < tries:
+        order = np.argsort(fill, kind="stable")
+        low, rest = order[:emptiest], order[emptiest:]
+        picked = np.concatenate([low, rng.choice(rest, size=min(len(rest), others), replace=False)])
+        items = np.concatenate([members[b] for b in picked.tolist()])
+        failed += 1
+        for method in (best_fit, exact_fit):
+            new, at, filled = method(lengths[items], capacity)
+            if len(filled) < len(picked) or len(filled) == len(picked) and np.sort(filled)[:8].sum() < fill[low[:8]].sum():
+                if len(filled) < len(picked):
+                    failed = 0
+                offsets[items] = at
+                kept = np.ones(n_bins, dtype=bool)
+                kept[picked] = False
+                parts = np.split(items[np.argsort(new, kind="stable")], np.cumsum(np.bincount(new))[:-1])
+                members = [members[b] for b in np.flatnonzero(kept).tolist()] + parts
+                fill = np.concatenate([fill[kept], filled])
+                n_bins = len(fill)
+                break
+    for b, m in enumerate(members):
+        bins[m] = b
+    return bins, offsets, fill
+
+
 def _packer(capacity: int, exchanged: int, last: bool):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("piece_key", kind="stable")
         lengths = pdf["length"].to_numpy(dtype=np.int64)
-        bins, offsets, fill = best_fit(lengths, capacity)
+        bins, offsets, fill = repack(lengths, capacity)
         handed = np.zeros(len(fill), dtype=bool)
         if not last and (len(fill) > lower_bound(lengths, capacity) or fill.min() < capacity // 2):
             handed[np.argsort(fill, kind="stable")[:exchanged]] = True

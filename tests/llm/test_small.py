@@ -353,3 +353,17 @@ def test_partitions_exchange(spark):
     got = packing.pack(df, group_rows=300).toPandas()
     assert len(got) == 3000 and (got.groupby("sequence_id")["length"].sum() <= 1024).all()
     assert got["sequence_id"].nunique() <= 1.02 * packing.lower_bound(got["length"].to_numpy(), 1024)
+
+
+def test_repacking_keeps_pieces_and_gains():
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([rng.integers(300, 1000, 1500), rng.integers(20, 400, 900)])
+    bins, offsets, fill = packing.repack(lengths, 1024)
+    assert (np.bincount(bins, weights=lengths) == fill).all() and fill.max() <= 1024
+    for b in range(0, len(fill), 37):
+        m = np.flatnonzero(bins == b)
+        m = m[np.argsort(offsets[m])]
+        assert (offsets[m] == np.cumsum(lengths[m]) - lengths[m]).all()
+    assert packing.lower_bound(lengths, 1024) <= len(fill) <= len(packing.best_fit(lengths, 1024)[2])
+    assert packing.exact_fit(np.array([600, 400, 300, 124, 1024]), 1024)[2].tolist() == [1024, 1024, 400]
+    assert len(packing.repack(np.array([], dtype=np.int64), 1024)[2]) == 0
