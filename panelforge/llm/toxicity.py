@@ -21,8 +21,12 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, sized_hint, written
 
 #: Lengths of n-grams in bytes, and bits of the feature table.
-ORDERS = (4, 5)
-BITS = 18
+ORDERS = (4, 5, 6, 7)
+BITS = 20
+#: Folds and thresholds of the cross-validation, the score that decides there, and rows of a class that it fits at most.
+FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 2_000
+#: Columns of the counts.
+COUNTS = [f"{c}_{k}" for k in range(FOLDS) for c in ("clean", "toxic")]
 
 
 @dataclass
@@ -57,71 +61,125 @@ def features(text: str | None, kept: np.ndarray | None = None) -> np.ndarray:
 
 
 def slot_counts(labelled: DataFrame) -> DataFrame:
-    """``slot, clean, toxic``: in how many texts of either class each slot occurs, over all labelled rows.
+    """``slot, clean_k, toxic_k``: in how many texts of either class of fold k each slot occurs, over all labelled rows.
 
     Slot -1 counts the texts. Each task sums its own texts first, so at most one row a slot leaves it.
     """
     arrow_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
-        seen = np.zeros(2, dtype=np.int32)
+        counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32)
+        seen = np.zeros(2 * FOLDS, dtype=np.int32)
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts[toxic][features(text)] += 1
-                seen[toxic] += 1
+            for toxic, fold, text in zip(*(c.to_pylist() for c in b.columns)):
+                counts[2 * fold + toxic][features(text)] += 1
+                seen[2 * fold + toxic] += 1
         slots = np.flatnonzero(counts.any(axis=0)).astype(np.int32)
         for at in range(0, len(slots), 1 << 16):
             part = slots[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0][part]), pa.array(counts[1][part])], names=["slot", "clean", "toxic"])
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (-1, *seen.tolist())], names=["slot", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c[part]) for c in counts)], names=["slot", *COUNTS])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (-1, *seen.tolist())], names=["slot", *COUNTS])
 
-    counted = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").where("toxic in (0, 1)")
-    counts = counted.mapInArrow(run, "slot int, clean int, toxic int")
-    return counts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = labelled.select(F.col("toxic").cast("int").alias("toxic"), _fold(), "text").where("toxic in (0, 1)")
+    counts = counted.mapInArrow(run, "slot int, " + ", ".join(f"{c} int" for c in COUNTS))
+    return counts.groupBy("slot").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def telling_slots(counts: DataFrame, clean: int, toxic: int, tells: float, most: int) -> DataFrame:
-    """``slot, ratio`` of the ``most`` telling slots, by the standard errors that their smoothed shares lie apart."""
-    p, q = (F.col("toxic") + 1) / F.lit(toxic + 2.0), (F.col("clean") + 1) / F.lit(clean + 2.0)
-    error = F.sqrt(p * (1 - p) / float(toxic) + q * (1 - q) / float(clean))
-    apart = counts.where("slot >= 0").select("slot", F.log(p / q).alias("ratio"), (F.abs(p - q) / error).alias("apart"))
-    return apart.where(F.col("apart") > tells).orderBy(F.desc("apart"), "slot").limit(most).select("slot", "ratio")
+def _fold():
+    """The fold of a row, by a hash of its id."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
 
 
-def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float = 3.0, most: int = 10_000, seed: int = 0) -> Model:
-    """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
+def telling_slots(counts: DataFrame, seen: dict[str, int], least: float, without: int | None = None) -> DataFrame:
+    """``slot, ratio, apart`` of the slots whose smoothed shares lie over ``least`` standard errors apart.
 
-    The class counts cover all labelled rows; only the ``most`` telling slots become features. The regression fits on about ``sample_rows`` rows of each class at most, taken by a
-    hash of the id. Without both classes the score is the constant 0.
+    Fold ``without`` is left out of the counts.
     """
-    spark = labelled.sparkSession
-    counts = written(slot_counts(labelled))
-    totals = counts.where("slot = -1").first()
-    if totals is None or not (totals["clean"] and totals["toxic"]):
-        return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
-    telling = telling_slots(counts, totals["clean"], totals["toxic"], tells, most).toArrow()
-    slots, scale = telling.column("slot").to_numpy(), telling.column("ratio").to_numpy()
-    index = np.full(1 << BITS, -1, dtype=np.int32)
-    index[slots] = np.arange(len(slots), dtype=np.int32)
-    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).alias("h"))
-    part = [min(1.0, sample_rows / totals[c]) * 2**20 for c in ("clean", "toxic")]
-    rows = rows.where(F.col("h") < F.when(F.col("toxic") == 1, F.lit(part[1])).when(F.col("toxic") == 0, F.lit(part[0])))
-    sent = spark.sparkContext.broadcast(slots)
+    folds = [k for k in range(FOLDS) if k != without]
+    clean, toxic = (sum(seen[f"{c}_{k}"] for k in folds) for c in ("clean", "toxic"))
+    n_clean, n_toxic = (sum((F.col(f"{c}_{k}") for k in folds), F.lit(0)) for c in ("clean", "toxic"))
+    p, q = (n_toxic + 1) / F.lit(toxic + 2.0), (n_clean + 1) / F.lit(clean + 2.0)
+    error = F.sqrt(p * (1 - p) / float(toxic) + q * (1 - q) / float(clean))
+    apart = counts.where("slot >= 0").select("slot", F.log(p / q).alias("ratio"), (F.abs(p - q) / error).alias("apart"))
+    return apart.where(F.col("apart") > least)
+
+
+def _sparse(rows: DataFrame, shares: list[float], slots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Label and fold of a sample of rows, and row and place in ``slots`` of each feature that they have."""
+    picked = rows.where(F.col("h") < F.when(F.col("toxic") == 1, F.lit(shares[1] * 2**20)).when(F.col("toxic") == 0, F.lit(shares[0] * 2**20)))
+    sent = rows.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.zeros(1 << BITS, dtype=bool)
         mask[sent.value] = True
         for b in batches:
-            found = [features(t, mask).tolist() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "slots"])
+            found = [features(t, mask).tolist() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "fold", "slots"])
 
-    sample = rows.select("toxic", "text").mapInArrow(run, "toxic int, slots array<int>").toArrow()
-    y = sample.column("toxic").to_numpy().astype(np.float64)
+    sample = picked.select("toxic", "fold", "text").mapInArrow(run, "toxic int, fold int, slots array<int>").toArrow()
+    index = np.full(1 << BITS, -1, dtype=np.int32)
+    index[slots] = np.arange(len(slots), dtype=np.int32)
     lists = sample.column("slots").combine_chunks()
-    lengths = np.diff(lists.offsets.to_numpy())
     column = index[lists.flatten().to_numpy()]
-    owner = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return sample.column("toxic").to_numpy().astype(np.float64), sample.column("fold").to_numpy(), owner, column
+
+
+def choose_tells(counts: DataFrame, seen: dict[str, int], rows: DataFrame, sample_rows: int) -> float:
+    """The threshold of ``TELLS`` with the fewest wrong decisions at ``CUT`` on folds left out, then the least loss.
+
+    Slots are counted without the fold they are judged on. Rows are about ``sample_rows`` of each class at
+    most, and weigh as many as they stand for. Folds that leave a class empty aren't judged.
+    """
+    total = [sum(seen[f"{c}_{k}"] for k in range(FOLDS)) for c in ("clean", "toxic")]
+    folds = [k for k in range(FOLDS) if all(n > seen[f"{c}_{k}"] for n, c in zip(total, ("clean", "toxic")))]
+    tables = {k: telling_slots(counts, seen, min(TELLS), k).select("slot", "ratio", "apart").toArrow() for k in folds}
+    if not folds:
+        return TELLS[len(TELLS) // 2]
+    shares = [min(1.0, sample_rows / n) for n in total]
+    union = np.unique(np.concatenate([t.column("slot").to_numpy() for t in tables.values()]))
+    y, fold, owner, column = _sparse(rows, shares, union)
+    stands = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+    judged = {t: np.zeros(2) for t in TELLS}
+    for k, table in tables.items():
+        at = np.searchsorted(union, table.column("slot").to_numpy())
+        scale, apart = np.zeros(len(union)), np.zeros(len(union))
+        scale[at], apart[at] = table.column("ratio").to_numpy(), table.column("apart").to_numpy()
+        fit_row, place = fold != k, np.cumsum(fold != k) - 1
+        held_place = np.cumsum(fold == k) - 1
+        for t in TELLS:
+            new = np.cumsum(apart > t) - 1
+            kept = apart[column] > t
+            learn, held = kept & fit_row[owner], kept & ~fit_row[owner]
+            some = scale[apart > t]
+            weight, bias = _logistic(place[owner[learn]], new[column[learn]], some, y[fit_row])
+            margin = np.bincount(held_place[owner[held]], weights=(weight * some)[new[column[held]]], minlength=int((~fit_row).sum())) + bias
+            truth, weigh = y[~fit_row], stands[~fit_row]
+            wrong = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) >= CUT) != (truth == 1)
+            judged[t] += (weigh[wrong].sum(), (weigh * np.logaddexp(0, np.where(truth == 1, -margin, margin))).sum())
+    return min(TELLS, key=lambda t: tuple(judged[t]))
+
+
+def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float | None = None, seed: int = 0) -> Model:
+    """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
+
+    The class counts cover all labelled rows; all slots beyond ``tells`` standard errors become features, as
+    many as the table has at most. ``tells`` is chosen by cross-validation unless given. The regression
+    fits on about ``sample_rows`` rows of each class at most, taken by a hash of the id. Without both
+    classes the score is the constant 0.
+    """
+    counts = written(slot_counts(labelled))
+    first = counts.where("slot = -1").first()
+    seen = first.asDict() if first else dict.fromkeys(COUNTS, 0)
+    total = [sum(seen[f"{c}_{k}"] or 0 for k in range(FOLDS)) for c in ("clean", "toxic")]
+    if not all(total):
+        return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
+    rows = labelled.select(F.col("toxic").cast("int").alias("toxic"), _fold(), "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).alias("h"))
+    if tells is None:
+        tells = choose_tells(counts, seen, rows, min(sample_rows, JUDGED))
+    telling = telling_slots(counts, seen, tells).orderBy("slot").toArrow()
+    slots, scale = telling.column("slot").to_numpy(), telling.column("ratio").to_numpy()
+    y, _, owner, column = _sparse(rows, [min(1.0, sample_rows / n) for n in total], slots)
     weight, bias = _logistic(owner, column, scale, y)
     table = np.zeros(1 << BITS, dtype=np.float32)
     table[slots] = weight * scale

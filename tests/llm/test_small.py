@@ -187,6 +187,23 @@ def test_toxicity_learns_and_scores(spark):
     assert toxicity.score(docs(spark, []).drop("score"), model).count() == 0
 
 
+def test_toxicity_tells_by_long_grams(spark):
+    """All grams of 4 and 5 bytes stand in both classes; only those of 6 and 7 tell them apart."""
+    every = "aaaaabaaabbaababaabbbababbabbbbb"  # each string of five over a and b, around its end
+    every += every[:4]
+    rows = [(i, every + ("b" * 7 if i % 2 else "a" * 7), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text"), toxicity.train(df)).collect()}
+    assert all((got[i] >= 0.7) == bool(i % 2) and (got[i] <= 0.3) == (not i % 2) for i in got)
+
+
+def test_toxicity_keeps_all_telling_slots(spark):
+    rng = np.random.default_rng(3)
+    words = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(300)) for _ in range(2)]
+    df = spark.createDataFrame([(i, words[i % 2], i % 2) for i in range(24)], "doc_id long, text string, toxic int")
+    assert (toxicity.train(df, tells=2.5).weight != 0).sum() > 10_000
+
+
 # Token output
 
 
