@@ -176,3 +176,11 @@ def test_cached_panel_builds_what_is_missing(spark, tmp_path):
     R.cached_panel(spark, path, [1, 2], build)
     assert R.cached_panel(spark, path, [1, 2, 3], build).count() == 3
     assert asked == [[1, 2], [3]]
+
+
+def test_refresh_loses_no_event_of_a_long_table(spark, tmp_path):
+    from panelforge import queries as Q
+
+    events = spark.range(4000).selectExpr("id AS event_id", "id % 97 AS user_id", "timestamp'2024-01-01' + make_dt_interval(id % 200) AS ts", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert Q.queries()["r1_refresh"](spark, str(tmp_path)).selectExpr("sum(n)").first()[0] == 4000
