@@ -66,6 +66,11 @@ def c12_strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.strip_tags(F.substring("url", 1, 40)).alias("url"), F.length(C.strip_tags("html")).cast("long").alias("n_text"))
 
 
+@query("""SELECT page_id, trim(regexp_replace(url, '<[^>]+>', '', 'g')) AS url FROM pages""")
+def c12_strip_tags_whole(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", C.strip_tags("url").alias("url"))
+
+
 @query(f"""{ALL}, t AS (SELECT bool_and(swing_pct BETWEEN 0 AND 1) AS a, bool_and(big_pct BETWEEN 0 AND 1) AS b FROM (SELECT *, k_pct * 3 AS big_pct FROM panel))
 SELECT entity, season, CASE WHEN t.a THEN round(swing_pct * 100, 2) ELSE round(swing_pct, 6) END AS swing_pct, CASE WHEN t.b THEN round(k_pct * 300, 2) ELSE round(k_pct * 3, 6) END AS big_pct FROM panel, t""")
 def c17_a17_rescale(spark, sf_dir):
