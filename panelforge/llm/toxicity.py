@@ -192,11 +192,11 @@ def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.nd
     weight, bias = np.zeros(width), float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
     balance = 1 / max(rows, 1)
     first, second = np.zeros(width + 1), np.zeros(width + 1)
-    value = scale[column]
+    owner, column = owner.astype(np.intp), column.astype(np.intp)
     for step in range(1, steps + 1):
-        margin = np.bincount(owner, weights=weight[column] * value, minlength=rows) + bias
+        margin = np.bincount(owner, weights=(weight * scale)[column], minlength=rows) + bias
         slope = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        grad = np.append(np.bincount(column, weights=slope[owner] * value, minlength=width) + decay * weight, slope.sum())
+        grad = np.append(scale * np.bincount(column, weights=slope[owner], minlength=width) + decay * weight, slope.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
