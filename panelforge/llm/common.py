@@ -46,11 +46,6 @@ def forget(*tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small enough for tables with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -358,7 +357,6 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     Null and empty pages have an empty text; a page without tags is one block; repeated rows give
     repeated results. Each page is decoded whole and alone, so nothing is shuffled.
     """
-    arrow_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     names = pages.columns
     model = field or train(labelled_pages())

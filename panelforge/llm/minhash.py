@@ -8,10 +8,13 @@ COORDINATES - m + 1 disjoint groups of coordinates one agrees as a whole: these
 is posted, three coordinates together where so many groups fit, else two. The other coordinates are
 never posted; they are skipped to and counted only for sets that met in the prefix.
 
-Copies of a set are one class and post once. Within a posting each class meets the smallest class of
-the posting first; links found so make components, and only classes of one posting in different
-components meet each other after that, block by block. So a group of thousands of near copies costs
-one comparison each, and no link between different components is passed over.
+Copies of a set are one class and post once. Three steps find the links. First each class meets the
+smallest class of each of its postings. Then it meets the class of another component that agrees with it
+most. Last, all classes of one posting that agree enough and are still in different components become
+candidates, each pair once, as one row a class with its partners. Candidates that hang together are a
+cluster; its classes are dealt into blocks by their own hash, the texts of every two blocks meet in one
+task, which confirms their candidates on full sets and gives back a spanning forest of the links. So
+neither pairs nor sets are listed once a posting, and no link between components is passed over.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batches, connected_components, forget, sized_hint, written
+from .common import NO_ID, connected_components, forget, sized_hint, written
 
 COORDINATES = 128
 #: Probability with which a pair exactly at the threshold may fail to agree on enough coordinates.
 MISSED = 1e-6
 
-#: Classes of one posting that meet in one task at a time.
-BLOCK = 2048
+#: Classes of one posting that meet in one task at a time; classes of a cluster, and their shingles, in one block.
+BLOCK = 1024
+CELL, CELL_SHINGLES = 1024, 1 << 20
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -115,7 +119,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, fp, n_shingles, node, sig``: the set's own 128-bit hash and signature; null where the set is empty."""
-    arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,12 +177,13 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _meeting(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Agreeing pairs ``a, b`` of different components among the classes of each posting, each pair once.
+def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Agreeing pairs of different components among the classes of each posting, each pair where it is first shared.
 
-    Postings of one component are left out before signatures are fetched. A posting is dealt into
-    blocks, and every two blocks meet in one place, so no task holds more than two. A pair is given
-    where it first shares a posting. ``best`` keeps for each class only the partner that agrees most.
+    With ``best`` rows ``node, partner, agree``: for each class of a posting the partner that agrees most.
+    Else ``node, partners, root``: a class with all its larger partners, 16 bytes each, and the smallest class
+    that it hangs together with in the block. Postings of one component are left out before signatures are
+    fetched. A posting is dealt into blocks, and every two blocks meet in one place, so no task holds more than two.
     """
     least, groups, width = prefix(percent)
     members = shared.select("place", "key", "node").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -192,17 +196,26 @@ def _meeting(shared: DataFrame, components: DataFrame, classes: DataFrame, perce
         "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n_shingles", "sig", "place"
     )
     placed = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    names = ["node", "partner", "agree"] if best else ["node", "partners", "root"]
+    kinds = [pa.binary(), pa.binary(), pa.int32() if best else pa.binary()]
 
-    def met(rows: list) -> tuple[list, list]:
-        sig = np.frombuffer(b"".join([r[7] for r in rows]), dtype=np.uint32).reshape(-1, COORDINATES)
+    def met(rows: list) -> Iterator[tuple]:
         parts = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in rows))}
+        if len(parts) < 2:
+            return
+        sig = np.frombuffer(b"".join([r[7] for r in rows]), dtype=np.uint32).reshape(-1, COORDINATES)
+        short = sig.astype(np.uint8)  # agrees wherever ``sig`` does
         part = np.array([parts[r[5]] for r in rows])
         own, n, place = np.array([r[3] for r in rows]), np.array([r[6] for r in rows]), rows[0][8]
-        a, b = [], []
+        across = rows[0][1] != rows[0][2]
+        nodes = [r[4] for r in rows]
+        root, most, partner = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64), np.full(len(rows), -1)
+        found: dict[int, bytes] = {}
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
-            may = (part[rest] != part[i]) & (n[rest] * 100 >= n[i] * percent) & (n[i] * 100 >= n[rest] * percent)
-            if rows[0][1] != rows[0][2]:
+            like = np.bitwise_count(np.packbits(short[rest] == short[i], axis=1).view(np.uint64)).sum(axis=1)
+            may = (like >= least) & (part[rest] != part[i]) & (n[rest] * 100 >= n[i] * percent) & (n[i] * 100 >= n[rest] * percent)
+            if across:
                 may &= own[rest] != own[i]
             at = np.flatnonzero(may) + i + 1
             if not len(at):
@@ -212,60 +225,174 @@ def _meeting(shared: DataFrame, components: DataFrame, classes: DataFrame, perce
             first = same[:, : groups * width].reshape(len(at), groups, width).all(axis=2).argmax(axis=1) == place
             good = (agree >= least) & first
             at, agree = at[good], agree[good]
-            if best and len(at) > 1:
-                at = at[[int(agree.argmax())]]
-            for j in at.tolist():
-                a.append(rows[i][4])
-                b.append(rows[j][4])
-        return a, b
+            if not len(at):
+                continue
+            if best:
+                j = int(agree.argmax())
+                if agree[j] > most[i]:
+                    most[i], partner[i] = agree[j], at[j]
+                more = agree > most[at]
+                most[at[more]], partner[at[more]] = agree[more], i
+                continue
+            found[i] = b"".join([nodes[j] for j in at.tolist()])
+            ends = np.append(root[at], root[i])
+            root[np.isin(root, ends)] = ends.min()
+        for i in range(len(rows)):
+            if best and partner[i] >= 0:
+                yield nodes[i], nodes[partner[i]], int(most[i])
+            elif not best and (i in found or root[i] != i):
+                yield nodes[i], found.get(i), nodes[root[i]]
+
+    def table(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
-            a, b = [], []
+            out: list = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0][:3] != row[:3]:
-                    x, y = met(held)
-                    a += x
-                    b += y
+                    out += met(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield table(out)
         if held:
-            a, b = met(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield table(list(met(held)))
 
-    return placed.mapInArrow(run, "a binary, b binary")
+    return placed.mapInArrow(run, "node binary, partner binary, agree int" if best else "node binary, partners binary, root binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` with ``linked``, whether they are links on their full sets; written."""
-    pairs = written(pairs)
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(classes: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` for the classes in ``nodes(node)``: the text of the document that stands for each; written."""
     wanted = written(classes.join(nodes.hint("merge"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.fp").alias("fp")))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("fp"), "text")
     texts = written(rows.join(sized_hint(wanted), ["id", "fp"]).dropDuplicates(["node"]).select("node", "text"))
+    forget(wanted)
+    return texts
+
+
+def _resolved(candidates: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A spanning forest ``a, b`` of the links among ``candidates(node, partners, root)``, confirmed on full sets."""
+    clusters = connected_components(candidates.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    sized = written(clusters.join(classes.select("node", "n_shingles").hint("merge"), "node"))
+    most = F.greatest(F.count("*") / CELL, F.sum("n_shingles") / CELL_SHINGLES)
+    blocks = written(sized.groupBy("component").agg(F.ceil(most).cast("long").alias("blocks")))
+    dealt = written(
+        sized.select("node", "component")
+        .join(blocks.hint("merge"), "component")
+        .withColumn("own", F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") % F.col("blocks"))
+    )
+    texts = _texts(classes, dealt.select("node"), docs)
+    lists = candidates.where("partners is not null").select("node", "partners").join(dealt.hint("merge"), "node")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list = []
+            for node, partners, component, blocks, own in zip(*(c.to_pylist() for c in b.columns)):
+                if blocks == 1:
+                    rows.append((component, 0, 0, 1, node, partners))
+                    continue
+                raw = np.frombuffer(partners, dtype=np.uint8).reshape(-1, 16)
+                theirs = np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.int64) % blocks
+                for other in np.unique(theirs).tolist():
+                    rows.append((component, min(own, other), max(own, other), 1, node, raw[theirs == other].tobytes()))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["component", "lo", "hi", "kind", "node", "body"])
+
+    pairs = lists.select("node", "partners", "component", "blocks", "own").mapInArrow(split, "component binary, lo long, hi long, kind int, node binary, body binary")
+    sets = dealt.join(texts.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sets = sets.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(0).alias("kind"), "node", F.col("text").cast("binary").alias("body"))
+    placed = sets.unionByName(pairs).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "kind", "node")
+
+    def solved(rows: list) -> list[tuple[bytes, bytes]]:
+        nodes = [r[4] for r in rows if r[3] == 0]
+        if len(nodes) == len(rows):
+            return []
+        place = {x: i for i, x in enumerate(nodes)}
+        found = [shingles(r[5].decode(errors="replace"), words) for r in rows[: len(nodes)]]
+        n = np.array([len(x) for x in found])
+        stops = np.cumsum(n)
+        _, flat = np.unique(np.concatenate(found), return_inverse=True)
+        own = [flat[b - k : b] for b, k in zip(stops.tolist(), n.tolist())]
+        mark = np.zeros(int(flat.max()) + 1, dtype=bool)
+        up = list(range(len(nodes)))
+        out = []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for r in rows[len(nodes) :]:
+            a = place[r[4]]
+            others = np.array([place[r[5][k : k + 16]] for k in range(0, len(r[5]), 16)])
+            mark[own[a]] = True
+            sizes = n[others]
+            borders = np.cumsum(sizes) - sizes
+            both = np.add.reduceat(mark[np.concatenate([own[j] for j in others.tolist()])].astype(np.int64), borders)
+            mark[own[a]] = False
+            for j in others[100 * both >= percent * (n[a] + sizes - both)].tolist():
+                x, y = top(a), top(j)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((nodes[a], nodes[j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for batch in batches:
+            out: list = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:3] != row[:3]:
+                    out += solved(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        out = solved(held) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    forest = written(placed.mapInArrow(run, "a binary, b binary"))
+    forget(clusters, sized, blocks, dealt, texts)
+    return forest
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` that are links on their full sets; written."""
+    pairs = written(pairs)
+    texts = _texts(classes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
-            linked = []
+            linked: list[bool] = []
             for key, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if last[0] != key:
                     last = (key, shingles(x, words))
                 one, two = last[1], shingles(y, words)
                 inter = len(np.intersect1d(one, two, assume_unique=True))
                 linked.append(100 * inter >= percent * (len(one) + len(two) - inter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            good = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")  # pairs of one ``a`` come one after the other
-    out = written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean"))
-    forget(pairs, wanted, texts)
+    out = written(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"))
+    forget(pairs, texts)
     return out
 
 
+def _exhausted(shared: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between different components, as many as join all that can be joined."""
+    candidates = written(_met(shared, components, classes, percent, best=False))
+    if not candidates.limit(1).count():
+        return candidates.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = _resolved(candidates, classes, docs, words, percent)
+    forget(candidates)
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
 
@@ -287,22 +414,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = written(postings.join(centers.hint("merge"), "key").where("node <> center"))
     forget(postings)
     star = shared.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    tested = _confirmed(_agreeing(star, classes, percent), classes, docs, words, percent)
-    components = connected_components(tested.where("linked"))
-    for best in (True, False):
-        pairs = _meeting(shared, components, classes, percent, best)
-        pairs = written(pairs.join(tested.select("a", "b").hint("merge"), ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            more = _confirmed(pairs, classes, docs, words, percent)
-            all_tested = written(tested.unionByName(more))
-            if more.where("linked").limit(1).count():
-                known = components
-                components = connected_components(all_tested.where("linked"))
-                forget(known)
-            forget(tested, more)
-            tested = all_tested
-        forget(pairs)
-    forget(shared, tested)
+    links = _confirmed(_agreeing(star, classes, percent), classes, docs, words, percent)
+    components = connected_components(links)
+    best = _met(shared, components, classes, percent, best=True).groupBy("node").agg(F.max_by("partner", F.struct("agree", "partner")).alias("b"))
+    best = best.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    for step in (lambda: _confirmed(best, classes, docs, words, percent), lambda: _exhausted(shared, components, classes, docs, words, percent)):
+        more = step()
+        if more.limit(1).count():
+            known = (links, more, components)
+            links = written(links.unionByName(more))
+            components = connected_components(links)
+            forget(*known)
+    forget(shared, links)
     ids = classes.select("node", F.col("rep.id").alias("id")).join(components.hint("merge"), "node", "left")
     ids = ids.withColumn("component", F.coalesce("component", "node"))
     smallest = ids.groupBy("component").agg(F.min("id").alias("least"))

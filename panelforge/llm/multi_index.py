@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batches, connected_components, written
+from .common import NO_ID, connected_components, written
 
 #: Vectors of a cell that meet in one task at a time.
 BLOCK = 1024
@@ -167,7 +167,6 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000
     the number of visited cells come from ``sample_rows`` vectors by hash of the id; all are indexed.
     """
     spark = vectors.sparkSession
-    arrow_batches(spark, 2000)
     rows = vectors.select("vec_id", F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))

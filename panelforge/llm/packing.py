@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import arrow_batches, written
+from .common import written
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -203,8 +203,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int =
     A null or empty text is the end id alone.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, close = encoder(tokenizer).encode, np.array([end], dtype="<u4")
         for batch in batches:

@@ -21,7 +21,6 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches
 
 #: How these models write a space (a fixed value of the format).
 SPACE = "▁"
@@ -214,8 +213,6 @@ def prefix_encoder(path: str) -> PrefixEncoder:
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids`` of ``docs(doc_id, text)`` without an end id; a null text has no ids."""
-    arrow_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = prefix_encoder(model).encode
         for b in batches:
@@ -227,8 +224,6 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id, text`` of ``encoded(doc_id, ids)``; null ids give an empty text."""
-    arrow_batches(encoded.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = prefix_encoder(model).decode
         for b in batches:
@@ -244,8 +239,6 @@ def digest_documents(docs: DataFrame, model: str) -> DataFrame:
     Null and empty texts have the end id alone and decode to an empty text; repeated rows give
     repeated results.
     """
-    arrow_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = prefix_encoder(model).digest
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_batches, forget, written
+from .common import NO_ID, forget, written
 
 LARGEST = 4000
 #: Multikey quicksort compares this many bytes at once, up to this depth.
@@ -190,7 +190,6 @@ def resolve(befores: list[bytes], afters: list[bytes], length: int) -> tuple[np.
 
 
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    arrow_batches(rows.sparkSession)
     names = ["key", "context", "id", "fp", "pos", "back", "ahead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +311,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 100) -> DataF
     ``length`` bytes keeps everything; repeated rows of that length go whole. Where removal cuts a
     character of several bytes, ``kept_text`` leaves out its rest; ``kept_sha256`` is of the bytes.
     """
-    arrow_batches(docs.sparkSession)
     names = docs.columns
     added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     keyed = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("fp"))

@@ -1,16 +1,18 @@
 """Token ids as Re-Pair compressed shards, written, read back and decoded at random places.
 
 A shard holds documents in ascending id order. Within it the ids of all documents, each closed by the
-end id, are compressed by Re-Pair: every round counts all adjacent pairs, gives the frequent ones a
-nonterminal each and replaces them, the more frequent first where two overlap. A pair with the end id
-is never replaced, so every document keeps a place of its own in the compressed sequence and is
-decoded without the others. Counts are exact for the pairs that a round considers; two pairs that
-share a slot of the counting table compete, and the loser can win in a later round, where slots differ.
+end id, are compressed by Re-Pair: every round counts adjacent pairs exactly, gives each pair of at least
+``LEAST`` occurrences a nonterminal and replaces it, the more frequent first where two overlap; rounds go
+on until no pair is that frequent. After the first round only pairs next to a replaced one, and those
+that lost an overlap, can be frequent, so only these are counted. A pair with the end id is never
+replaced, so every document keeps a place of its own in the compressed sequence.
 
-File format of a shard (little-endian): ``RPR1``; unsigned 32-bit numbers of documents, rounds, rules
+File format of a shard (little-endian): ``RPR2``; unsigned 32-bit numbers of documents, rounds, rules
 and symbols, and bytes a symbol; document ids (64-bit, ``NO_ID`` for null); per document the tokens and
 the place of its first symbol (32-bit); first symbol of each round's rules (32-bit); per rule its left
-and right symbol and expansion length (32-bit); the symbols (16-bit where all fit, else 32-bit).
+and right symbol and expansion length (32-bit); the low 16 bits of all symbols, then, where a symbol
+needs them, bits 16 to 23 (8-bit), then bits 24 to 31 (8-bit). Expansion lengths lead a reader from a
+token's position to its symbol and down the rules, so that any stretch of ids is decoded alone.
 """
 
 from __future__ import annotations
@@ -26,90 +28,164 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import NO_ID, arrow_batches, partitions, written
-
-MAGIC = b"RPR1"
-
-
-def _pair_round(seq: np.ndarray, end: int, symbol: int, room: int, least: int, salt: int):
-    """One round over ``seq``: the new sequence and the rules (left, right), the first being ``symbol``."""
-    bits = max(10, min(20, int(len(seq)).bit_length()))
-    left, right = seq[:-1], seq[1:]
-    slot = left * np.uint32(2654435761 + 2 * salt)
-    slot ^= right * np.uint32(2246822519 + 4 * salt)
-    slot *= np.uint32(3266489917)
-    slot >>= np.uint32(32 - bits)
-    holder = np.zeros(1 << bits, dtype=np.int32)
-    holder[slot] = np.arange(len(slot), dtype=np.int32)
-    of = holder[slot]
-    fits = (left == left[of]) & (right == right[of]) & (left != end) & (right != end)
-    counts = np.bincount(slot[fits], minlength=1 << bits)
-    frequent = np.flatnonzero(counts >= least)
-    order = np.lexsort((frequent, -counts[frequent]))[:room]
-    frequent = frequent[order]
-    if not len(frequent):
-        return seq, left[:0], right[:0]
-    none = np.int32(len(frequent))
-    rank = np.full(1 << bits, none, dtype=np.int32)
-    rank[frequent] = np.arange(len(frequent), dtype=np.int32)
-    r = np.where(fits, rank[slot], none)
-    taken = r < none
-    taken[1:] &= r[1:] < r[:-1]
-    taken[:-1] &= r[:-1] <= r[1:]
-    at = np.flatnonzero(taken)
-    out = seq.copy()
-    out[at] = symbol + r[at].astype(np.uint32)
-    keep = np.ones(len(seq), dtype=bool)
-    keep[at + 1] = False
-    holders = holder[frequent]
-    return out[keep], left[holders].copy(), right[holders].copy()
-
-
-def compress(ids: np.ndarray, end: int, vocabulary: int, rounds: int = 5, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+from .common import NO_ID, partitions, written
+
+MAGIC = b"RPR2"
+#: Occurrences from which on a pair gets a nonterminal: a rule takes the space of about as many symbols.
+LEAST = 12
+
+_MANY = 2**22
+
+
+def _ranked(pairs: np.ndarray, values: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``pairs`` of those among ``values``, their ranks, and the places of others in their slots.
+
+    Of values that share a slot the most frequent is found; the others wait for the next round.
+    """
+    bits = max(12, min(20, 4 + int(len(values)).bit_length()))
+    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    table = np.full(1 << bits, -1, dtype=np.int32)
+    by_rank = np.argsort(-rank)
+    table[slot(values[by_rank])] = by_rank  # the most frequent of a slot is put in last
+    of = table[slot(pairs)]
+    at = np.flatnonzero(of >= 0)
+    of = of[at]
+    same = values[of] == pairs[at]
+    return at[same], rank[of[same]], at[~same]
+
+
+def compress(ids: np.ndarray, end: int, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ``ids``: symbols, first symbol of each round, left and right sides of all rules."""
     seq, symbol, firsts, lefts, rights = ids.astype(np.uint32), vocabulary, [], [], []
-    for k in range(rounds):
-        room = max(0, 65_536 - symbol) // 2 if k < rounds - 1 else max(0, 65_536 - symbol)
-        if vocabulary >= 65_536:
-            room = 65_536
-        if len(seq) < 2 or not room:
-            break
-        seq, left, right = _pair_round(seq, end, symbol, room, least, k)
-        if not len(left):
+    hot = np.ones(len(seq), dtype=bool)  # a frequent pair may start here
+    while len(seq) > 1:
+        at = np.flatnonzero(hot[:-1])
+        left, right = seq[at], seq[at + 1]
+        inner = (left != end) & (right != end)
+        at = at[inner]
+        pairs = left[inner].astype(np.uint64) << np.uint64(32)
+        pairs |= right[inner]
+        ordered = np.sort(pairs)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
+        counts = np.diff(np.concatenate([starts, [len(ordered)]]))
+        frequent = counts >= least
+        if not frequent.any():
             break
+        values, counts = ordered[starts[frequent]], counts[frequent]
+        rank = np.empty(len(values), dtype=np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(values), dtype=np.int32)
+        found, r, missed = _ranked(pairs, values, rank)
+        places = at[found]
+        near = np.diff(places) == 1
+        equal = near & (r[1:] == r[:-1])  # of a run of one symbol every second pair
+        order = np.arange(len(r))
+        run = np.maximum.accumulate(np.where(np.concatenate([[True], ~equal]), order, 0))
+        taken = (order - run) % 2 == 0
+        taken[1:] &= ~(near & (r[:-1] < r[1:]))
+        taken[:-1] &= ~(near & (r[1:] < r[:-1]))
+        done = np.bincount(r[taken], minlength=len(values))
+        rules = np.flatnonzero(done >= max(2, least // 4))
+        number = np.full(len(values), -1, dtype=np.int64)
+        number[rules] = symbol + np.arange(len(rules))
+        taken &= number[r] >= 0
+        where = places[taken]
+        of = np.empty(len(values), dtype=np.int64)
+        of[rank] = np.arange(len(values))
         firsts.append(symbol)
-        lefts.append(left)
-        rights.append(right)
-        symbol += len(left)
+        lefts.append((values[of[rules]] >> np.uint64(32)).astype(np.uint32))
+        rights.append(values[of[rules]].astype(np.uint32))
+        symbol += len(rules)
+        seq[where] = number[r[taken]].astype(np.uint32)
+        # counts only fall where nothing changes, so pairs that were under ``least`` stay there
+        hot[:] = False
+        hot[places] = True
+        if len(found) < counts.sum():
+            hot[at[missed]] = True
+        hot[where] = True
+        hot[where - 1] = True
+        keep = np.ones(len(seq), dtype=bool)
+        keep[where + 1] = False
+        seq, hot = seq[keep], hot[keep]
     none = np.zeros(0, dtype=np.uint32)
     return seq, np.array(firsts, dtype=np.uint32), np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
-def expand(seq: np.ndarray, firsts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    base = int(firsts[0]) if len(firsts) else 0
-    for first in firsts[::-1]:
-        rule = seq >= first
-        at = np.flatnonzero(rule)
-        rules = seq[at] - np.uint32(base)
-        seq = np.repeat(seq, 1 + rule)
-        at = at + np.arange(len(at))
-        seq[at], seq[at + 1] = left[rules], right[rules]
-    return seq
+class Rules:
+    """What the nonterminals of a shard stand for."""
+
+    def __init__(self, firsts: np.ndarray, left: np.ndarray, right: np.ndarray, spans: np.ndarray):
+        self.first = int(firsts[0]) if len(firsts) else 2**32 - 1
+        self.left, self.right, self.spans = left, right, spans.astype(np.int64)
+        self.rounds = [*firsts[1:].tolist(), self.first + len(left)] if len(firsts) else []
+        self.flat = self.starts = None
+
+    def lengths(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), dtype=np.int64)
+        at = np.flatnonzero(symbols >= self.first)
+        out[at] = self.spans[symbols[at] - np.uint32(self.first)]
+        return out
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for, round by round from the last."""
+        for stop in reversed([self.first, *self.rounds[:-1]] if self.rounds else []):
+            at = np.flatnonzero(symbols >= stop)
+            if len(at):
+                rules = symbols[at] - np.uint32(self.first)
+                times = np.ones(len(symbols), dtype=np.int64)
+                times[at] = 2
+                symbols = np.repeat(symbols, times)
+                at = at + np.arange(len(at))
+                symbols[at], symbols[at + 1] = self.left[rules], self.right[rules]
+        return symbols
+
+    def expand_all(self, symbols: np.ndarray) -> np.ndarray:
+        """The same, by what every rule stands for, each written out once; round by round if that is long."""
+        if int(self.spans.sum()) > _MANY:
+            return self.expand(symbols)
+        if self.flat is None:
+            self.starts = np.cumsum(self.spans) - self.spans
+            self.flat = np.zeros(int(self.spans.sum()), dtype=np.uint32)
+            begin = self.first
+            for stop in self.rounds:
+                rules = slice(begin - self.first, stop - self.first)
+                sides = np.stack([self.left[rules], self.right[rules]], axis=1).ravel()
+                a, b = int(self.starts[rules.start]), int(self.starts[rules.stop]) if rules.stop < len(self.starts) else len(self.flat)
+                self.flat[a:b] = self._written(sides)
+                begin = stop
+        return self._written(symbols)
+
+    def _written(self, symbols: np.ndarray) -> np.ndarray:
+        spans = self.lengths(symbols)
+        stops = np.cumsum(spans)
+        out = np.repeat(symbols, spans)
+        at = np.flatnonzero(out >= self.first)
+        rules = out[at] - np.uint32(self.first)
+        out[at] = self.flat[self.starts[rules] + at - np.repeat(stops - spans, spans)[at]]
+        return out
+
+
+def _lengths(firsts: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids that each rule expands to; a rule refers to earlier rounds only."""
+    spans = np.ones(vocabulary + len(left), dtype=np.int64)
+    stops = [*firsts[1:].tolist(), vocabulary + len(left)]
+    for first, stop in zip(firsts.tolist(), stops):
+        rules = slice(first - vocabulary, stop - vocabulary)
+        spans[first:stop] = spans[left[rules]] + spans[right[rules]]
+    return spans[vocabulary:]
 
 
 def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], end: int, vocabulary: int) -> bytes:
     """``ids`` are those of each document with the end id."""
     tokens = np.array([len(x) for x in ids], dtype="<u4")
     seq, firsts, left, right = compress(np.concatenate(ids), end, vocabulary)
+    spans = _lengths(firsts, left, right, vocabulary)
     closes = np.flatnonzero(seq == end)  # an end id inside a document is as good a border as any
     if len(closes) != len(ids):
-        spans = np.ones(int(vocabulary) + len(left), dtype=np.int64)
-        spans[vocabulary:] = _lengths(firsts, left, right, vocabulary)
-        reached = np.cumsum(spans[seq])
+        reached = np.cumsum(Rules(firsts, left, right, spans).lengths(seq))
         closes = np.searchsorted(reached, np.cumsum(tokens, dtype=np.int64))
     places = np.concatenate([[0], closes[:-1] + 1])
-    width = 2 if vocabulary + len(left) <= 65_536 else 4
+    top = vocabulary + len(left)
+    width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
     return b"".join(
         [
             MAGIC,
@@ -120,24 +196,15 @@ def write_shard(doc_ids: list[int | None], ids: list[np.ndarray], end: int, voca
             firsts.astype("<u4").tobytes(),
             left.astype("<u4").tobytes(),
             right.astype("<u4").tobytes(),
-            _lengths(firsts, left, right, vocabulary).astype("<u4").tobytes(),
-            seq.astype("<u2" if width == 2 else "<u4").tobytes(),
+            spans.astype("<u4").tobytes(),
+            (seq & np.uint32(0xFFFF)).astype("<u2").tobytes(),
+            *((seq >> np.uint32(shift)).astype(np.uint8).tobytes() for shift in (16, 24)[: width - 2]),
         ]
     )
 
 
-def _lengths(firsts: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Ids that each rule expands to; a rule refers to earlier rounds only."""
-    spans = np.ones(vocabulary + len(left), dtype=np.int64)
-    stops = [*firsts[1:].tolist(), vocabulary + len(left)]
-    for first, stop in zip(firsts.tolist(), stops):
-        rules = slice(first - vocabulary, stop - vocabulary)
-        spans[first:stop] = spans[left[rules]] + spans[right[rules]]
-    return spans[vocabulary:]
-
-
 class Shard:
-    """A shard as read: ``ids(i)`` decodes document ``i`` alone, ``all_ids()`` the whole shard."""
+    """A shard as read: ``ids(i)`` decodes document ``i`` alone, ``some(i, start, stop)`` a stretch of it, ``all_ids()`` the whole shard."""
 
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
@@ -152,16 +219,46 @@ class Shard:
             return out
 
         self.doc_ids, self.tokens, self.places = take("<i8", docs), take("<u4", docs), take("<u4", docs)
-        self.firsts, self.left, self.right = take("<u4", rounds), take("<u4", rules), take("<u4", rules)
-        self.spans = take("<u4", rules)
-        self.symbols = take("<u2" if width == 2 else "<u4", symbols).astype(np.uint32)
+        self.rules = Rules(take("<u4", rounds), take("<u4", rules), take("<u4", rules), take("<u4", rules))
+        self.symbols = take("<u2", symbols).astype(np.uint32)
+        for shift in (16, 24)[: width - 2]:
+            self.symbols |= take("u1", symbols).astype(np.uint32) << np.uint32(shift)
 
-    def ids(self, i: int) -> np.ndarray:
+    def _symbols(self, i: int) -> np.ndarray:
         stop = self.places[i + 1] if i + 1 < len(self.places) else len(self.symbols)
-        return expand(self.symbols[self.places[i] : stop], self.firsts, self.left, self.right)
+        return self.symbols[self.places[i] : stop]
+
+    def ids(self, i: int) -> np.ndarray:
+        return self.rules.expand(self._symbols(i))
+
+    def some(self, i: int, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of document ``i``: its symbols are found by their expansion lengths, and what lies outside isn't decoded."""
+        symbols, rules = self._symbols(i), self.rules
+        reached = np.cumsum(rules.lengths(symbols))
+        stop = min(stop, int(reached[-1]))
+        if start >= stop:
+            return np.zeros(0, dtype=np.uint32)
+        a, b = int(np.searchsorted(reached, start, "right")), int(np.searchsorted(reached, stop, "left"))
+        at = int(reached[a - 1]) if a else 0
+        todo = []
+        for s in symbols[a : b + 1].tolist():
+            todo.append((s, at))
+            at += int(rules.spans[s - rules.first]) if s >= rules.first else 1
+        todo.reverse()
+        out: list[np.ndarray] = []
+        while todo:
+            s, at = todo.pop()
+            n = int(rules.spans[s - rules.first]) if s >= rules.first else 1
+            if start <= at and at + n <= stop:
+                out.append(rules.expand(np.array([s], dtype=np.uint32)))
+            elif at < stop and at + n > start:
+                left, right = int(rules.left[s - rules.first]), int(rules.right[s - rules.first])
+                middle = at + (int(rules.spans[left - rules.first]) if left >= rules.first else 1)
+                todo += [(right, middle), (left, at)]
+        return np.concatenate(out)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.firsts, self.left, self.right)
+        return self.rules.expand_all(self.symbols)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, vocabulary: int = 50_257, shard_tokens: int = 1 << 20) -> DataFrame:
@@ -172,7 +269,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, vocabulary: int
     rows of one id are ordered by text; an empty table gives no shards.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     schema = "part int, shard int, n_docs long, n_tokens long, payload binary"
     fields = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
@@ -208,8 +304,6 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before it. The offsets of parts are a running sum over
     one row a part; there are as many parts as write tasks, so that table is small at any input size.
     """
-    spark = shards.sparkSession
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, number, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -231,7 +325,6 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                     names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     docs = shards.select("part", "shard", "payload").mapInArrow(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, sized_hint, written
+from .common import sized_hint, written
 
 #: Lengths of n-grams in bytes, and bits of the feature table.
 ORDERS = (4, 5, 6, 7)
@@ -65,8 +65,6 @@ def slot_counts(labelled: DataFrame) -> DataFrame:
 
     Slot -1 counts the texts. Each task sums its own texts first, so at most one row a slot leaves it.
     """
-    arrow_batches(labelled.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2 * FOLDS, 1 << BITS), dtype=np.int32)
         seen = np.zeros(2 * FOLDS, dtype=np.int32)
@@ -211,7 +209,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     All columns are kept. The model goes to the workers as its kept slots, bounded by the table.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
     slots = np.flatnonzero(model.weight).astype(np.uint32)
     sent = spark.sparkContext.broadcast((slots, model.weight[slots], model.bias))
     names = docs.columns

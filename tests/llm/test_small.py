@@ -214,7 +214,21 @@ def test_re_pair_round_trip():
     shard = token_output.Shard(raw)
     assert (shard.all_ids() == np.concatenate(docs_)).all()
     assert all((shard.ids(i) == d).all() for i, d in enumerate(docs_))
-    assert len(shard.symbols) < sum(map(len, docs_)) and shard.spans.max() > 2
+    assert len(shard.symbols) < sum(map(len, docs_)) and shard.rules.spans.max() > 2
+    for i, d in enumerate(docs_):  # any stretch is decoded alone
+        a, b = sorted(rng.integers(0, len(d) + 1, size=2).tolist())
+        assert (shard.some(i, a, b) == d[a:b]).all()
+
+
+def test_re_pair_goes_on_to_its_end():
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([rng.choice(40, size=30_000), np.full(5000, 9), np.tile(rng.choice(900, size=60), 40)]).astype("<u4")
+    ids[rng.choice(len(ids), size=50)] = 2
+    seq, firsts, left, right = token_output.compress(ids, 2, 1000, least=12)
+    pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    counts = np.unique(pairs[(seq[:-1] != 2) & (seq[1:] != 2)], return_counts=True)[1]
+    assert counts.max() < 12 and len(firsts) > 5
+    assert (token_output.Rules(firsts, left, right, token_output._lengths(firsts, left, right, 1000)).expand(seq) == ids).all()
 
 
 def test_tokens_are_read_back(spark):
@@ -233,8 +247,8 @@ def test_tokens_are_read_back(spark):
 def test_ids_against_the_library():
     mine = bpe.TextEncoder(BPE)
     rng = random.Random(1)
-    bits = [" ", "  ", "\n", " \n", "a", "the", "é", "日本", ".", "'s", "<|endoftext|>", "\t", "\xa0", "1", "²", "\x1c", "\x85", "İ", "…", "ª"]
-    for _ in range(4000):
+    bits = [" ", "  ", "\n", " \n", "a", "the", "é", "日本", ".", ".,", "'s", "<|endoftext|>", "\t", "\xa0", "1", "²", "\x1c", "\x1d", "\x85", "\u3000", "İ", "…", "ª", "-", "ñ"]
+    for _ in range(8000):
         t = "".join(rng.choices(bits, k=rng.randint(0, 14)))
         assert mine.encode(t).tolist() == mine.library.encode(t, add_special_tokens=False).ids
 
