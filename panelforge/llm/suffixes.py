@@ -5,13 +5,14 @@ suffix would move every text many times over. Instead each string of ``length``
 inside it, the one that starts with its smallest hashed ``gram`` bytes: equal strings name the same place,
 so suffixes that no string names need no sorting, and about one in 150 does. Named suffixes with equal
 grams meet in one group with what stands before and after them, as far as a string of ``length`` can
-reach. Whole contexts that occur twice are settled by their hash. The other contexts of a group are sorted by
-deep-shallow sorting, forwards and, for what stands before, backwards: multikey quicksort to a shallow
-depth, then blind tries for those that still share all of it. The longest common prefixes of
-neighbours then give the longest match of every suffix on either side.
-
-A group of more than ``LARGEST`` different contexts is not sorted in one task: its strings are counted
-by hash over all tasks, which gives the same spans.
+reach. Equal contexts, known by a hash of 128 bits, are counted before anything is moved to its group and
+stand there once. The different contexts of a group are sorted by deep-shallow sorting, forwards and, for
+what stands before, backwards: multikey quicksort to a shallow depth, then blind tries for those that
+still share all of it. The common prefixes of neighbours in the two orders cut each order into classes
+at every depth; two suffixes in one class of both orders share a string of ``length`` bytes.
+
+``LARGEST`` bounds the memory of a task: of a group with more different contexts the classes are found by
+hashes of the strings instead, counted over all tasks; the spans are the same.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, forget, written
 
-LARGEST = 4000
+#: Different contexts of a group that one task sorts.
+LARGEST = 50_000
 #: Multikey quicksort compares this many bytes at once, up to this depth.
 WORD, SHALLOW = 8, 64
 
 _table = np.random.default_rng(41).integers(1, 2**63, size=256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+_ODD = np.uint64(0xC4CEB9FE1A85EC53)
 _powers: list[np.ndarray] = []
 
 
@@ -70,7 +74,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def named_suffixes(raw: np.ndarray, length: int, gram: int):
-    """Places of the suffixes that the strings of a text name, and their keys and context hashes and reaches."""
+    """Places of the suffixes that the strings of a text name, their keys, both halves of their contexts' hashes, and their reaches."""
     total = _prefix_hash(raw)
     inverse = _power(len(raw) + 1)[1]
     n = len(raw) - gram + 1
@@ -80,9 +84,10 @@ def named_suffixes(raw: np.ndarray, length: int, gram: int):
     at = smallest[np.concatenate([[True], np.diff(smallest) != 0])]
     left = np.minimum(at, length - gram)
     right = np.minimum(len(raw) - at, length)
-    whole = (total[at + right] - total[at - left]) * inverse[at - left]
-    context = _mixed(whole + left.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53) + right.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return at, grams[at].view(np.int64), context.view(np.int64), left, right
+    view = memoryview(raw)
+    digests = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip((at - left).tolist(), (at + right).tolist())])
+    context, check = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
+    return at, grams[at].view(np.int64), (context + left.astype(np.uint64) * _ODD).view(np.int64), check.view(np.int64), left, right
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -161,36 +166,42 @@ def deep_shallow_sort(strings: list[bytes], shallow: int = SHALLOW) -> list[int]
     return out
 
 
-def _matches(strings: list[bytes]) -> np.ndarray:
-    """Longest common prefix of every two strings, from the sorted order and its neighbours' prefixes."""
-    n = len(strings)
+def _sorted(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``strings`` and how much each shares with the next."""
     order = deep_shallow_sort(strings)
-    near = np.array([common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])], dtype=np.int32)
-    out = np.zeros((n, n), dtype=np.int32)
-    for i in range(n - 1):
-        row = np.minimum.accumulate(near[i:])
-        out[order[i], order[i + 1 :]] = row
-        out[order[i + 1 :], order[i]] = row
-    return out
+    return np.array(order), np.array([common_prefix(strings[a], strings[b]) for a, b in zip(order, order[1:])], dtype=np.int64)
 
 
 def resolve(befores: list[bytes], afters: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """How far to either side repeats reach from each suffix of a group; 0 and 0 where none does.
 
-    ``befores`` hold what stands before each suffix, backwards.
+    ``befores`` hold what stands before each suffix, backwards. A string that starts b bytes before a suffix
+    is repeated if another shares b bytes before and ``length`` - b after it. The largest and the smallest
+    such b are common prefixes of neighbours in one of the orders, so only these are tried.
     """
-    if len(afters) == 2:
-        back, ahead = common_prefix(*befores), common_prefix(*afters)
-        reach = (back, ahead) if back + ahead >= length else (0, 0)
-        return np.array([reach[0]] * 2), np.array([reach[1]] * 2)
-    back, ahead = _matches(befores), _matches(afters)
-    long = back + ahead >= length
-    np.fill_diagonal(long, False)
-    return np.where(long, back, 0).max(axis=1), np.where(long, ahead, 0).max(axis=1)
+    n = len(afters)
+    (by_before, back), (by_after, ahead) = _sorted(befores), _sorted(afters)
+    reach = np.zeros((2, n), dtype=np.int64)
+    if n < 2:
+        return reach[0], reach[1]
+    most_back, most_ahead = back.max(), ahead.max()
+    x, y = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for b in np.unique(np.concatenate([back, length - ahead])).tolist():
+        if b < 0 or b > most_back or length - b > most_ahead:
+            continue
+        x[by_before[1:]], y[by_after[1:]] = np.cumsum(back < b), np.cumsum(ahead < length - b)
+        x[by_before[0]] = y[by_after[0]] = 0
+        both = x * n + y
+        order = np.argsort(both, kind="stable")
+        same = both[order[1:]] == both[order[:-1]]
+        hit = np.concatenate([order[1:][same], order[:-1][same]])
+        reach[0, hit] = np.maximum(reach[0, hit], b)
+        reach[1, hit] = np.maximum(reach[1, hit], length - b)
+    return reach[0], reach[1]
 
 
 def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    names = ["key", "context", "id", "fp", "pos", "back", "ahead"]
+    names = ["key", "context", "check", "id", "fp", "pos", "back", "ahead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,26 +209,26 @@ def _anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for id_, fp, text in zip(*(c.to_pylist() for c in b.columns)):
                 raw = np.frombuffer((text or "").encode(errors="replace"), dtype=np.uint8)
                 if len(raw) >= length:
-                    at, key, context, left, right = named_suffixes(raw, length, gram)
+                    at, key, context, check, left, right = named_suffixes(raw, length, gram)
                     one = np.ones(len(at), dtype=np.int64)
-                    parts.append((key, context, one * id_, one * fp, at, left, right))
+                    parts.append((key, context, check, one * id_, one * fp, at, left, right))
             if parts:
                 columns = [np.concatenate(c) for c in zip(*parts)]
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], names=names)
 
-    return rows.select("id", "fp", "text").mapInArrow(run, "key long, context long, id long, fp long, pos int, back int, ahead int")
+    return rows.select("id", "fp", "text").mapInArrow(run, "key long, context long, check long, id long, fp long, pos int, back int, ahead int")
 
 
 def _by_sorting(contexts: DataFrame, length: int) -> DataFrame:
     """``id, fp, start, stop`` of the single contexts of each group, the groups sorted one after the other."""
 
     def solved(rows: list) -> list[tuple]:
-        rows = list({r[1]: r for r in rows}.values())
+        rows = list({r[1:3]: r for r in rows}.values())
         if len(rows) < 2:
             return []
-        back, ahead = resolve([r[6][::-1] for r in rows], [r[7] for r in rows], length)
-        return [(r[3], r[4], r[5] - x, r[5] + y) for r, x, y in zip(rows, back.tolist(), ahead.tolist()) if y and r[2] == 1]
+        back, ahead = resolve([r[7][::-1] for r in rows], [r[8] for r in rows], length)
+        return [(r[4], r[5], r[6] - x, r[6] + y) for r, x, y in zip(rows, back.tolist(), ahead.tolist()) if y and r[3] == 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -232,8 +243,8 @@ def _by_sorting(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield _spans(solved(held))
 
-    dealt = contexts.repartition("key").sortWithinPartitions("key", "context")
-    return dealt.select("key", "context", "n", "id", "fp", "pos", "before", "after").mapInArrow(run, "id long, fp long, start int, stop int")
+    dealt = contexts.repartition("key").sortWithinPartitions("key", "context", "check")
+    return dealt.select("key", "context", "check", "n", "id", "fp", "pos", "before", "after").mapInArrow(run, "id long, fp long, start int, stop int")
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
@@ -247,7 +258,7 @@ def _by_counting(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, context, before, after in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, context, check, before, after in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = np.frombuffer(before + after, dtype=np.uint8)
                 backs = np.arange(max(0, length - len(after)), len(before) + 1)
                 if not len(backs):
@@ -256,14 +267,14 @@ def _by_counting(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 h = _mixed((total[first + length] - total[first]) * _power(len(raw) + 1)[1][first])
                 n = len(backs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, key)), pa.array(np.full(n, context)), pa.array(backs.astype(np.int32)), pa.array(h.view(np.int64))],
-                    names=["key", "context", "back", "string"],
+                    [*(pa.array(np.full(n, x)) for x in (key, context, check)), pa.array(backs.astype(np.int32)), pa.array(h.view(np.int64))],
+                    names=["key", "context", "check", "back", "string"],
                 )
 
-    strings = written(contexts.select("key", "context", "before", "after").mapInArrow(run, "key long, context long, back int, string long"))
+    strings = written(contexts.select("key", "context", "check", "before", "after").mapInArrow(run, "key long, context long, check long, back int, string long"))
     twice = strings.groupBy("key", "back", "string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    reach = strings.join(twice.hint("merge"), ["key", "back", "string"]).groupBy("key", "context").agg(F.max("back").alias("x"), (length - F.min("back")).alias("y"))
-    found = contexts.where("n = 1").join(reach.hint("merge"), ["key", "context"])
+    reach = strings.join(twice.hint("merge"), ["key", "back", "string"]).groupBy("key", "context", "check").agg(F.max("back").alias("x"), (length - F.min("back")).alias("y"))
+    found = contexts.where("n = 1").join(reach.hint("merge"), ["key", "context", "check"])
     return found.select("id", "fp", (F.col("pos") - F.col("x")).alias("start"), (F.col("pos") + F.col("y")).cast("int").alias("stop"))
 
 
@@ -275,75 +286,74 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 100) -> DataF
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("fp"), "text")
     anchors = written(_anchors(rows, length, gram))
-    twice = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice = written(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     alive = written(anchors.join(twice.hint("merge"), "key"))
-    forget(anchors)
+    forget(anchors, twice)
     contexts = written(
-        alive.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "pos", "back", "ahead")).alias("rep"))
+        alive.groupBy("key", "context", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp", "pos", "back", "ahead")).alias("rep"))
     )
     settled = (
-        alive.join(contexts.where("n > 1").select("key", "context").hint("merge"), ["key", "context"])
+        alive.join(contexts.where("n > 1").select("key", "context", "check").hint("merge"), ["key", "context", "check"])
         .where(F.col("back") + F.col("ahead") >= length)
         .select("id", "fp", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("stop"))
     )
     groups = contexts.groupBy("key").agg(F.count("*").alias("variants"), F.min("n").alias("least")).where("variants > 1 and least = 1")
-    open_ = written(contexts.join(groups.select("key", "variants").hint("merge"), "key").select("key", "context", "n", "variants", "rep.*"))
-
-    def cut(some: DataFrame) -> DataFrame:
-        """Contexts with what stands before and after; repeated rows of a text give repeated contexts."""
-        raw = rows.select("id", "fp", F.col("text").cast("binary").alias("raw")).join(some.hint("merge"), ["id", "fp"])
-        before, after = F.expr("substring(raw, pos - back + 1, back)"), F.expr("substring(raw, pos + 1, ahead)")
-        return raw.select("key", "context", "n", "id", "fp", "pos", before.alias("before"), after.alias("after"))
-
-    found = settled.unionByName(_by_sorting(cut(open_.where(F.col("variants") <= LARGEST)), length))
-    large = open_.where(F.col("variants") > LARGEST)
-    if large.limit(1).count():
-        found = found.unionByName(_by_counting(written(cut(large).dropDuplicates(["key", "context"])), length, gram))
+    open_ = written(contexts.join(groups.select("key", "variants").hint("merge"), "key").select("key", "context", "check", "n", "variants", "rep.*"))
+    # contexts with what stands before and after; repeated rows of a text give repeated contexts
+    raw = rows.select("id", "fp", F.col("text").cast("binary").alias("raw")).join(open_.hint("merge"), ["id", "fp"])
+    before, after = F.expr("substring(raw, pos - back + 1, back)"), F.expr("substring(raw, pos + 1, ahead)")
+    cut = raw.select("key", "context", "check", "n", "variants", "id", "fp", "pos", before.alias("before"), after.alias("after"))
+    large = open_.where(F.col("variants") > LARGEST).limit(1).count()
+    if large:
+        cut = written(cut)
+    found = settled.unionByName(_by_sorting(cut.where(F.col("variants") <= LARGEST) if large else cut, length))
+    if large:
+        found = found.unionByName(_by_counting(cut.where(F.col("variants") > LARGEST).dropDuplicates(["key", "context", "check"]), length, gram))
     spans = written(found.groupBy("id", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")))
-    forget(alive, contexts, open_)
+    forget(alive, contexts, open_, cut)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 100) -> DataFrame:
-    """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` added; all columns are kept.
+ADDED = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept_text": "string"}
 
-    Every copy of a repeated string goes, the first included. Null texts are empty; a text shorter than
-    ``length`` bytes keeps everything; repeated rows of that length go whole. Where removal cuts a
-    character of several bytes, ``kept_text`` leaves out its rest; ``kept_sha256`` is of the bytes.
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 100, least_words: int = 0) -> DataFrame:
+    """``docs`` with ``n_bytes, n_removed, n_spans, kept_sha256, kept_text`` added; columns of these names are replaced, all others kept.
+
+    Every copy of a repeated string goes, the first included; with ``least_words`` a maximal run of bytes to
+    remove stays if it has fewer words. Null texts are empty; a text shorter than ``length`` bytes keeps
+    everything; repeated rows of that length go whole; a null id is an id like others; an empty table
+    gives an empty result. Where removal cuts a character of several bytes, ``kept_text`` leaves out its
+    rest; ``kept_sha256`` is of the bytes.
     """
-    names = docs.columns
-    added = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("fp"))
-    spans = repeated_spans(docs, length, gram).select(F.col("id").alias("of"), F.col("fp").alias("of_fp"), "spans")
-    both = keyed.join(spans.hint("merge"), (F.col("id") == F.col("of")) & (F.col("fp") == F.col("of_fp")), "left").select("row.*", "spans")
+    names = [c for c in docs.columns if c not in ADDED]
+    kept = {f"c{i}": docs.schema[c].dataType.simpleString() for i, c in enumerate(names)}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, names)], F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("fp"))
+    both = keyed.join(repeated_spans(docs, length, gram).hint("merge"), ["id", "fp"], "left").select(*kept, "spans")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [remaining(text, spans) for text, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
+            rows = [remaining(text, spans, least_words) for text, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-            )
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *ADDED])
 
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return both.mapInArrow(run, f"{plain}, {added}")
+    schema = ", ".join(f"`{k}` {t}" for k, t in (kept | ADDED).items())
+    return both.mapInArrow(run, schema).toDF(*names, *ADDED)
 
 
-def remaining(text: str | None, spans: list | None) -> tuple[int, int, int, str, str]:
+def remaining(text: str | None, spans: list | None, least_words: int = 0) -> tuple[int, int, int, str, str]:
     """Bytes, bytes removed, maximal removed runs, hash of the rest and the rest as text."""
     raw = (text or "").encode(errors="replace")
-    kept, at, removed, runs, stop = [], 0, 0, 0, -1
+    runs: list[list[int]] = []
     for span in spans or ():
-        if span["start"] > stop:
-            kept.append(raw[at : span["start"]])
-            runs += 1
-            at = span["start"]
-        stop = max(stop, span["stop"])
-        removed += max(0, stop - at)
-        at = max(at, stop)
-    kept.append(raw[at:])
-    rest = b"".join(kept)
-    return len(raw), removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")
+        if runs and span["start"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], span["stop"])
+        else:
+            runs.append([span["start"], span["stop"]])
+    if least_words:
+        runs = [r for r in runs if len(raw[r[0] : r[1]].split()) >= least_words]
+    borders = [0, *(x for r in runs for x in r), len(raw)]
+    rest = b"".join([raw[a:b] for a, b in zip(borders[::2], borders[1::2])])
+    return len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")

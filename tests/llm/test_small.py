@@ -89,7 +89,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("largest", [4000, 2])
+@pytest.mark.parametrize("largest", [50_000, 2])
 def test_repeats_against_brute_force(spark, monkeypatch, largest):
     monkeypatch.setattr(suffixes, "LARGEST", largest)
     rng = random.Random(8)
@@ -108,9 +108,30 @@ def test_repeats_against_brute_force(spark, monkeypatch, largest):
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == brute_repeats(texts, 60)
 
 
+def test_runs_of_few_words_stay():
+    spans = [{"start": 0, "stop": 5}, {"start": 4, "stop": 9}, {"start": 12, "stop": 20}]
+    assert suffixes.remaining("aa bb cc dd eeeeeeeeee", spans, 3)[1:3] == (9, 1)
+    assert suffixes.remaining("aa bb cc dd eeeeeeeeee", spans)[1:3] == (17, 2)
+
+
+def test_resolve_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(150):
+        n, length = rng.randint(1, 12), 12
+        befores = [bytes(rng.choices(b"ab", weights=[9, 1], k=rng.randint(0, 8))) for _ in range(n)]
+        afters = [b"gram" + bytes(rng.choices(b"ab", weights=[9, 1], k=rng.randint(0, 8))) for _ in range(n)]
+        back, ahead = suffixes.resolve(befores, afters, length)
+        for i in range(n):
+            pairs = [(suffixes.common_prefix(befores[i], befores[j]), suffixes.common_prefix(afters[i], afters[j])) for j in range(n) if j != i]
+            good = [p for p in pairs if sum(p) >= length]
+            assert (back[i], ahead[i]) == (max((p[0] for p in good), default=0), max((p[1] for p in good), default=0))
+
+
 def test_repeats_edge_cases(spark):
-    out = suffixes.remove_repeats(docs(spark))
-    assert out.count() == len(ODD) and set(docs(spark).columns) <= set(out.columns)
+    clashing = docs(spark).withColumns({"spans": F.lit("s"), "n_bytes": F.lit("n"), "id": F.lit("i"), "fp": F.lit(0.5), "a.b": F.lit(1), "kept_text": F.lit(2)})
+    out = suffixes.remove_repeats(clashing)
+    assert sorted(out.columns) == sorted({*clashing.columns, *suffixes.ADDED}) and dict(out.dtypes)["spans"] == "string" and dict(out.dtypes)["n_bytes"] == "bigint"
+    assert out.count() == len(ODD) and out.where("spans = 's' and id = 'i' and fp = 0.5").count() == len(ODD)
     assert {r["n_removed"] for r in out.where("doc_id = 5").collect()} == {len(LONG)}
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
