@@ -17,9 +17,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's, else one of our own (local runs)."""
+    """The folder that driver and executors share: the cluster's; in local runs without one a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

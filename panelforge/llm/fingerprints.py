@@ -6,7 +6,8 @@ fingerprint is the sum of the vectors, component-wise modulo 2**20, next to the
 modulo 2**60, which makes equal fingerprints of unequal multisets improbable. The sum does not depend on
 the order, and a paragraph is put in or taken out by adding or subtracting its vector (``combine``).
 
-Three components of 20 bits share a 64-bit integer, so the whole vector takes few integer additions.
+Three components of 20 bits share a 64-bit integer, each with a bit above it that is cleared after every
+addition, so the whole vector takes few integer additions and no component carries into the next.
 A component counts the paragraphs whose hash has its bit. The difference of two fingerprints has, in
 each component, a variance in proportion to the paragraphs that only one of them has; its squares
 estimate that number, and from it the likeness.
@@ -22,9 +23,13 @@ from .common import NO_ID
 #: Hashes a paragraph, and integers of three components each that one hash fills.
 HASHES = 3
 SHIFTS = 20
-_ONES = (1 << 40) | (1 << 20) | 1
+FIELD = 21
+_ONES = (1 << 2 * FIELD) | (1 << FIELD) | 1
 _FIELD = (1 << 20) - 1
+_FIELDS = _ONES * _FIELD
 _WIDE = (1 << 60) - 1
+#: Borders of buckets that a row is held against at a time, and buckets at most.
+STEP, BUCKETS = 256, 1 << 16
 COMPONENTS = HASHES * SHIFTS * 3
 
 
@@ -48,7 +53,7 @@ def vector(parts: Column) -> Column:
             F.aggregate(
                 hashed,
                 zero,
-                lambda acc, h: F.transform(acc, lambda a, i: (a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_WIDE))),
+                lambda acc, h: F.transform(acc, lambda a, i: (a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(_ONES))).bitwiseAND(F.lit(_FIELDS))),
             )
         )
     wide = F.aggregate(
@@ -69,8 +74,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     def one(x: Column, y: Column, i: Column) -> Column:
         fields = F.lit(0).cast("long")
         for j in range(3):
-            f = (F.shiftright(x, 20 * j).bitwiseAND(F.lit(_FIELD)) + sign * F.shiftright(y, 20 * j).bitwiseAND(F.lit(_FIELD))).bitwiseAND(F.lit(_FIELD))
-            fields = fields.bitwiseOR(F.shiftleft(f, 20 * j))
+            f = (F.shiftright(x, FIELD * j).bitwiseAND(F.lit(_FIELD)) + sign * F.shiftright(y, FIELD * j).bitwiseAND(F.lit(_FIELD))).bitwiseAND(F.lit(_FIELD))
+            fields = fields.bitwiseOR(F.shiftleft(f, FIELD * j))
         plain = (x + sign * y).bitwiseAND(F.lit(_WIDE))
         return F.when(i < last, fields).otherwise(plain)
 
@@ -93,7 +98,7 @@ def likeness(a: Column, b: Column) -> Column:
     def total(x: Column, y: Column) -> Column:
         out = F.lit(0.0)
         for j in range(3):
-            f = F.shiftright(x, 20 * j).bitwiseAND(F.lit(_FIELD)) - F.shiftright(y, 20 * j).bitwiseAND(F.lit(_FIELD))
+            f = F.shiftright(x, FIELD * j).bitwiseAND(F.lit(_FIELD)) - F.shiftright(y, FIELD * j).bitwiseAND(F.lit(_FIELD))
             out = out + f * f
         return out
 
@@ -123,7 +128,10 @@ def followed(docs: DataFrame, buckets: int) -> DataFrame:
     spark = docs.sparkSession
     borders = sorted(set(docs.approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
     edges = F.array(*[F.lit(int(b)) for b in borders]) if borders else F.array().cast("array<long>")
-    placed = docs.withColumn("bucket", F.size(F.filter(edges, lambda e: e <= F.col("id"))))
+    # every STEP-th border first, then those after it, so that a row is held against few of many borders
+    coarse = F.array(*[F.lit(int(b)) for b in borders[STEP - 1 :: STEP]]) if len(borders) >= STEP else F.array().cast("array<long>")
+    below = lambda some: F.size(F.filter(some, lambda e: e <= F.col("id")))
+    placed = docs.withColumn("bucket", below(coarse)).withColumn("bucket", F.col("bucket") * STEP + below(F.slice(edges, F.col("bucket") * STEP + 1, STEP)))
     # a row a bucket: the smallest id of each, and whose follower it is
     firsts = placed.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()
     if not firsts:
@@ -144,7 +152,7 @@ def with_edits(docs: DataFrame, rows_a_bucket: int = 4000) -> DataFrame:
     texts are empty; an empty table gives an empty result; repeated rows follow each other.
     """
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = int(max(1, min(2048, rows.count() // rows_a_bucket)))
+    buckets = int(max(1, min(BUCKETS, rows.count() // rows_a_bucket)))
     seen = followed(fingerprint(rows), buckets)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+_RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "svg", "iframe", "object")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -38,14 +35,73 @@ INLINE = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
-    """The leaf blocks of a page: text, ancestors as ``tag class…``, and the share of its text in links."""
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, stop, name (empty: no element), whether it ends an element, and attributes of each tag, comment and raw element.
+
+    One pass: where quotes leave a tag open to the end of the page, that tag and all later ones end at
+    the next ``>``, whatever the quotes. A ``<`` that nothing closes is text.
+    """
+    at, last, quotes = 0, page.rfind(">"), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = len(page) if stop < 0 else stop + 3
+            yield start, at, "", False, ""
+            continue
+        if start > last:
+            return
+        at = start + 1
+        if page[at] in "!?":
+            at = page.find(">", at) + 1
+            yield start, at, "", False, ""
+            continue
+        end = page[at] == "/"
+        name = _NAME.match(page, at + end)
+        if not name:
+            continue
+        stop = name.end()
+        while quotes:
+            mark = _STOP.search(page, stop)
+            if not mark or mark[0] != ">" and (close := page.find(mark[0], mark.end())) < 0:
+                quotes = False
+            elif mark[0] == ">":
+                stop = mark.start()
+                break
+            else:
+                stop = close + 1
+        else:
+            stop = page.find(">", name.end())
+        tag, attrs, at = name[0].lower(), page[name.end() : stop], stop + 1
+        if not end and tag in _RAW:
+            closed = _RAW[tag].search(page, at)
+            at = closed.end() if closed else len(page)
+            tag = ""
+        yield start, at, tag, end, attrs
+
+
+def step_features(tag: str, names: str) -> frozenset[str]:
+    """Features of one ancestor: its tag and the words of its classes and ids."""
+    found = {f"in:{tag}"}
+    for word in _SPLIT.split(_CAMEL.sub("-", names).lower()):
+        if len(word) > 1:
+            found.add(f"named:{word}")
+            found.add(f"named:{word[:5]}*")
+    return frozenset(found)
+
+
+Path = tuple[str, frozenset, frozenset]
+
+
+def blocks(page: str | None) -> list[tuple[str, Path, float]]:
+    """The leaf blocks of a page: text, nearest tag, features of all ancestors and of the nearest named one, and the share of its text in links."""
     page = page or ""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, str]] = []  # of block-level tags
+    out: list[tuple[str, Path, float]] = []
+    stack: list[Path] = []  # of block-level tags, with the features from the top down to each and of the last that is named
+    known: dict[tuple[str, str], frozenset] = {}
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     linked = links = 0
-    path: tuple[str, ...] = ()
+    path = path_of_none = ("", frozenset(), frozenset())
 
     def close() -> None:
         nonlocal linked
@@ -57,52 +113,49 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         linked = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, stop, tag, end, attrs in _tags(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if links:
                 linked += len(piece)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        at = stop
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m["end"] else 1
+                links = 0 if end else 1
             elif tag == "br":
                 text.append(" ")
             continue
         close()
         links = 0
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        if end:
+            while open_tags[tag]:
+                shut = stack.pop()[0]
+                open_tags[shut] -= 1
+                if shut == tag:
                     break
         else:
             while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
-                stack.pop()
-            if tag not in VOID and not m["attrs"].endswith("/"):
-                names = " ".join(a or b or c for a, b, c in _NAMES.findall(m["attrs"])) if m["attrs"] else ""
-                stack.append((tag, f"{tag} {names}" if names else tag))
-        path = tuple(s[1] for s in stack)
+                open_tags[stack.pop()[0]] -= 1
+            if tag not in VOID and not attrs.endswith("/"):
+                names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)) if attrs else ""
+                own = known.get((tag, names))
+                if own is None:
+                    own = known[tag, names] = step_features(tag, names)
+                _, above, named = stack[-1] if stack else path_of_none
+                stack.append((tag, above if own <= above else above | own, own if len(own) > 1 else named))
+                open_tags[tag] += 1
+        path = stack[-1] if stack else path_of_none
     text.append(page[at:])
     close()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    """Ancestor tags, the words of their classes and ids, and the nearest tag."""
-    found = {f"own:{path[-1].split(' ')[0]}" if path else "own:"}
-    for step in path:
-        tag, _, names = step.partition(" ")
-        found.add(f"in:{tag}")
-        for word in _SPLIT.split(_CAMEL.sub("-", names).lower()):
-            if len(word) > 1:
-                found.add(f"named:{word}")
-                found.add(f"named:{word[:5]}*")
+def path_features(path: Path) -> list[str]:
+    """Ancestor tags, the words of their classes and ids, those of the nearest that has any, and the nearest tag."""
+    found = {f"own:{path[0]}", *path[1], *(f"near:{x}" for x in path[2])}
     if not {"in:article", "in:main"} & found:
         found.add("outside")
     return sorted(found)
@@ -127,13 +180,13 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float]], start: np.ndarray, moves: np.ndarray):
         self.weights, self.start, self.moves = weights, start.tolist(), moves.tolist()
-        self.by_path: dict[tuple[str, ...], tuple[float, float]] = {}
+        self.by_path: dict[Path, tuple[float, float]] = {}
 
     def _sum(self, features: list[str]) -> tuple[float, float]:
         found = [w for f in features if (w := self.weights.get(f))]
         return sum(w[0] for w in found), sum(w[1] for w in found)
 
-    def decode(self, page: list[tuple[str, tuple[str, ...], float]]) -> list[int]:
+    def decode(self, page: list[tuple[str, Path, float]]) -> list[int]:
         """The likeliest labels of a page's blocks, by Viterbi."""
         if not page:
             return []
@@ -161,7 +214,7 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[tuple[str, list[int]]], steps: int = 120, decay: float = 2e-3) -> Field:
+def train(pages: list[tuple[str, list[int]]], steps: int = 120, decay: float = 3e-4) -> Field:
     """Fit a field on pages with a label for each block, by the gradient of the conditional likelihood."""
     rows = [[path_features(p) + text_features(t, s) for t, p, s in blocks(page)] for page, _ in pages]
     for (page, labels), r in zip(pages, rows):
@@ -308,14 +361,16 @@ class Layouts:
                 self.block("blockquote", self.sentence(), 1)
             elif k and kind < 0.21:
                 self.block("pre", self.words(3, 20), 1)
-            elif k and kind < 0.25:
+            elif k and kind < 0.33:
                 self.side(r.choice(["ad", "notice", "share", "form", "aside", "nav"]))
             else:
-                text = " ".join(self.sentence(1, 30) for _ in range(r.choice([1, 1, 2, 4, 8])))
+                text = " ".join(self.sentence(1, 30) for _ in range(r.choice([1, 1, 2, 4, 8]))) if r.random() > 0.06 else self.sentence(1, 2)
                 if r.random() < 0.15:
                     text = f"{text} <a href=/x>{self.words(1, 3)}</a> {self.words(1, 4)}."
                 if r.random() < 0.15:
                     text = f"<b>{text}<br>"
+                if r.random() < 0.05:
+                    text += r.choice([" |", " &middot; ", " &raquo;", " &copy;"]) + r.choice(["", self.words(1, 3)])
                 self.block("p", text, 1, shut=r.random() < 0.9)
         if r.random() < 0.2:
             self.side(r.choice(["comments", "share", "aside"]))

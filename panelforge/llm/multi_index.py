@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, connected_components, written
+from .common import NO_ID, connected_components, forget, written
 
 #: Vectors of a cell that meet in one task at a time.
 BLOCK = 1024
@@ -77,9 +77,9 @@ def traverse(one: np.ndarray, two: np.ndarray, visits: int) -> list[int]:
 
 
 def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.995, seed: int = 0) -> Index:
-    """Codebooks from unit vectors; cells hold about 64 of all ``rows`` vectors, codebooks 4 to 256 words."""
+    """Codebooks from unit vectors; cells hold about 64 of all ``rows`` vectors, a codebook an eighth of the sample at most."""
     rng = np.random.default_rng(seed)
-    size = int(np.clip(np.sqrt(rows / 64), 4, 256))
+    size = int(max(4, min(np.sqrt(rows / 64), len(sample) / 8)))
     half = sample.shape[1] // 2
     index = Index(_codebook(sample[:, :half], size, rng), _codebook(sample[:, half:], size, rng), size * size)
     probes = sample[rng.choice(len(sample), size=min(len(sample), 1000), replace=False)]
@@ -88,11 +88,8 @@ def fit(sample: np.ndarray, rows: int, threshold: float, recall: float = 0.995,
     aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-300)[:, None]
     near = index.home(threshold * probes + np.sqrt(max(0.0, 1 - threshold**2)) * aside)
     one, two = index.distances(probes)
-    sums = (one[:, :, None] + two[:, None, :]).reshape(len(probes), -1) if size <= 64 else None
-    if sums is not None:
-        ranks = (sums < sums[np.arange(len(probes)), near][:, None]).sum(axis=1) + 1
-    else:
-        ranks = np.array([(x[:, None] + y[None, :] < x[c // size] + y[c % size]).sum() + 1 for x, y, c in zip(one, two, near)])
+    bound = one[np.arange(len(near)), near // size] + two[np.arange(len(near)), near % size]
+    ranks = np.array([np.searchsorted(np.sort(y), t - x).sum() + 1 for x, y, t in zip(one, two, bound)])
     # a pair is met if either of the two visits the other's cell
     index.visits = int(np.quantile(ranks, 1 - np.sqrt(1 - recall), method="higher"))
     return index
@@ -166,11 +163,11 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000
     as vectors of their own; a null id counts as the smallest and is given back as null. Codebooks and
     the number of visited cells come from ``sample_rows`` vectors by hash of the id; all are indexed.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"  # then vectors move as such
+    rows = vectors.select("vec_id", F.coalesce("vec_id", F.lit(NO_ID)).alias("id"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("v", F.when(good, F.transform("v", lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("v", F.when(good, F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast("float" if single else "double")).otherwise(x))))
     usual = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     width = usual["d"] if usual else 0
     rows = rows.withColumn("v", F.when(F.size("v") == width, F.col("v")))
@@ -180,7 +177,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000
     if total and width > 1:
         sample = classes.select("v").orderBy(F.xxhash64("id", "rep")).limit(sample_rows).toArrow().column("v").combine_chunks()
         index = fit(_unit(_matrix(sample)), total, threshold, recall)
-        linked = written(_links(classes, index, threshold))
+        linked = _links(classes, index, threshold)
         edges = linked.where("b is not null").select(F.col("rep").alias("a"), "b")
         components = connected_components(edges)
     else:
@@ -189,6 +186,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000
     counts = linked.where("b is null").groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(counts.hint("merge"), "rep", "left").join(components.hint("merge"), classes["rep"] == components["node"], "left")
     named = written(named.select("v", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")))
+    forget(classes, linked, components)
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     named = named.join(least.hint("merge"), "component").select("v", "n_links", "least")
     out = rows.join(named.hint("merge"), "v", "left").withColumn("least", F.coalesce("least", "id"))
@@ -201,32 +199,32 @@ def links(vectors: DataFrame, threshold: float = 0.95, sample_rows: int = 20_000
 
 
 def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
-    """``rep, b, links``: partial counts of links (b null) and edges of spanning forests (links null)."""
+    """``rep, b, links``: partial counts of links (b null) and edges of spanning forests (links null); written.
+
+    Visits move as ids; a vector goes to the cells of its visits once the blocks of each cell are known.
+    """
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            unit = _unit(_matrix(b.column(2)))
+            unit = _unit(_matrix(b.column(1)))
             one, two = index.distances(unit)
-            cells = np.array([traverse(x, y, index.visits) for x, y in zip(one, two)], dtype=np.int32)
-            at = pa.array(np.repeat(np.arange(b.num_rows), index.visits))
-            lists = pa.array(cells.tolist(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel()), b.column(0).take(at), b.column(1).take(at), pa.array(np.repeat(cells[:, 0], index.visits)), lists.take(at), b.column(2).take(at)],
-                names=["cell", "rep", "n", "home", "visits", "v"],
-            )
-
-    visits = classes.select("rep", "n", "v").mapInArrow(visit, "cell int, rep long, n long, home int, visits array<int>, v array<double>")
-    visits = written(visits)
-    # a row a cell, of which there are as many as the grid has at most
+            cells = np.array([traverse(x, y, index.visits) for x, y in zip(one, two)], dtype=np.int32).reshape(b.num_rows, -1)
+            raw = [x.tobytes() for x in cells]
+            at = pa.array(np.repeat(np.arange(b.num_rows), cells.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), b.column(0).take(at), pa.array(raw, pa.binary()).take(at)], names=["cell", "rep", "visits"])
+
+    visits = written(classes.select("rep", "v").mapInArrow(visit, "cell int, rep long, visits binary"))
     blocks = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = visits.join(F.broadcast(blocks), "cell").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = visits.join(blocks.hint("merge"), "cell").join(classes.select("rep", "n", "v").hint("merge"), "rep")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = dealt.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "home", "visits", "v")
+    placed = dealt.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "n", "visits", "v")
     placed = placed.repartition("cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi", "rep")
 
     def solved(held: list) -> pa.RecordBatch:
-        cell, lo, hi, own, rep, n, home, seen, v = zip(*held)
-        rows = {"cell": np.array(cell), "own": np.array(own), "rep": np.array(rep), "n": np.array(n), "home": np.array(home), "visits": np.array(seen)}
+        cell, lo, hi, own, rep, n, seen, v = zip(*held)
+        seen = np.frombuffer(b"".join(seen), dtype=np.int32).reshape(len(held), -1)
+        rows = {"cell": np.array(cell), "own": np.array(own), "rep": np.array(rep), "n": np.array(n), "home": seen[:, 0], "visits": seen}
         rows["unit"] = _unit(np.array(v, dtype=np.float64))
         found = _verified(rows, threshold, lo[0] == hi[0])
         out: list[tuple] = []
@@ -248,4 +246,6 @@ def _links(classes: DataFrame, index: Index, threshold: float) -> DataFrame:
         if held:
             yield solved(held)
 
-    return placed.mapInArrow(run, "rep long, b long, links long")
+    found = written(placed.mapInArrow(run, "rep long, b long, links long"))
+    forget(visits)
+    return found

@@ -1,7 +1,6 @@
 """Toxicity score of whole texts: character n-grams scaled by naive Bayes log-count ratios, linear.
 
-Features are the character n-grams (of UTF-8 bytes, ASCII letters lower-cased) of ``ORDERS`` lengths,
-hashed into a table; a text has or has not a feature. From labelled texts the count of every slot in
+Features are the n-grams of characters (code points, lower-cased) of ``ORDERS`` lengths, hashed into a table; a text has or has not a feature. From labelled texts the count of every slot in
 either class is summed over all labelled rows in Spark; the log ratio of the smoothed frequencies
 scales the slot's feature. A logistic regression over the scaled features of a bounded sample of
 labelled texts then gives the weights. Only slots that tell the classes apart beyond chance are kept,
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import sized_hint, written
 
-#: Lengths of n-grams in bytes, and bits of the feature table.
+#: Lengths of n-grams in characters, and bits of the feature table.
 ORDERS = (4, 5, 6, 7)
 BITS = 20
 #: Folds and thresholds of the cross-validation, the score that decides there, and rows of a class that it fits at most.
@@ -39,9 +38,8 @@ class Model:
 
 def _slots(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Iterator[np.ndarray]:
     """For each length the slots of all n-grams of a text, one after the other."""
-    raw = np.frombuffer(text.encode(errors="replace"), dtype=np.uint8)
-    raw = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
-    x = raw.astype(np.uint32) * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
+    raw = np.frombuffer(text.lower().encode("utf-32-le", errors="replace"), dtype="<u4")
+    x = raw * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
     x ^= x >> np.uint32(15)
     h = x
     for n in range(2, max(orders) + 1):
@@ -206,9 +204,11 @@ def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.nd
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` from 0 to 1 from whole texts; a null text is empty, an empty one scores by the bias.
 
-    All columns are kept. The model goes to the workers as its kept slots, bounded by the table.
+    Repeated rows get equal scores and an empty table gives an empty result. All columns are kept but one
+    called score, which is replaced. The model goes to the workers as its kept slots, bounded by the table.
     """
     spark = docs.sparkSession
+    docs = docs.drop("score")
     slots = np.flatnonzero(model.weight).astype(np.uint32)
     sent = spark.sparkContext.broadcast((slots, model.weight[slots], model.bias))
     names = docs.columns
@@ -237,7 +237,8 @@ def in_training(doc_id: str = "doc_id"):
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic`` of the documents whose label may be learned.
 
-    A document with several labels counts once for each of them; ids without a text or label are left out.
+    A document with several labels counts once for each of them, a repeated row as often as it stands there;
+    null ids and ids without a label are left out, null texts are empty. Other columns are not read.
     """
     known = labels.where(in_training()).select("doc_id", "toxic").where("toxic is not null")
     return docs.select("doc_id", "text").join(sized_hint(written(known)), "doc_id")

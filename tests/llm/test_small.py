@@ -42,6 +42,52 @@ def test_extract_main_text(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+#: Pages of other layouts, written and labelled by hand: what must be in the text, and what must not.
+LAYOUTS = [
+    (
+        '<body><header class="site-header"><a href="/">Daily</a></header><div id="cookie-banner"><p>We use cookies.</p><button>Accept</button></div>'
+        '<main><h1>Rivers rise</h1><p>The river rose by two metres on Monday, and the road was closed.</p><figure><img src=a><figcaption>The bridge at noon.</figcaption></figure>'
+        '<p>Officials said that it would fall again by Friday.</p></main><aside class="related"><h3>Related</h3><ul><li><a href=b>Older story</a></li></ul></aside>'
+        '<section class="comments"><h2>2 comments</h2><p>I was there, it was awful.</p></section><footer><p>All rights reserved.</p></footer></body>',
+        ["Rivers rise", "The river rose", "Officials said"],
+        ["Daily", "cookies", "Accept", "Older story", "I was there", "rights reserved"],
+    ),
+    (
+        '<body><div class="navbar"><ul><li><a href=1>News</a></li><li><a href=2>Sport</a></li></ul></div><form class="search-form"><label>Search</label><input name=q></form>'
+        '<div class="post-content"><h1>How to plant beans</h1><p>Beans need sun, water and patience, and a little string.</p><ol><li>Dig a hole.</li><li>Drop the bean.</li></ol>'
+        '<div class="advertisement"><p>Buy our seeds now!</p></div><p>After ten days the first leaves will show above the soil.</p></div>'
+        '<div class="sidebar"><p>Subscribe to our letters.</p></div><div class="footer">&copy; Garden</div></body>',
+        ["How to plant beans", "Beans need sun", "Dig a hole.", "After ten days"],
+        ["Sport", "Search", "Buy our seeds", "Subscribe", "Garden"],
+    ),
+    (
+        '<body><nav><a href=1>Home</a> | <a href=2>About</a></nav><article><h1>On sleep</h1><p>Sleep is not idle time; the brain sorts what the day has left.</p>'
+        '<blockquote>We are such stuff as dreams are made on.</blockquote><p>So go to bed.</p></article>'
+        '<div id="disqus_thread"><div class="comment"><p>Good read, thank you.</p></div></div><p class="disclaimer">Ads may follow you.</p></body>',
+        ["On sleep", "Sleep is not idle", "such stuff as dreams", "So go to bed."],
+        ["Home", "About", "Good read", "Ads may follow"],
+    ),
+]
+
+
+def test_pages_labelled_by_hand():
+    field = html_extract.train(html_extract.labelled_pages())
+    for page, inside, outside in LAYOUTS:
+        text = html_extract.main_text(page, field)
+        assert [x for x in inside if x not in text] == [] and [x for x in outside if x in text] == []
+
+
+def test_blocks_of_long_and_broken_pages_take_one_pass():
+    import time
+
+    for unit in ('<a "', "<div>", "</div>", '<a "> "', '<div class="x', "<!--", "<script>", "<", "<p>x"):
+        began = time.process_time()
+        html_extract.blocks(unit * 20_000)
+        assert time.process_time() - began < 5
+    assert [b[0] for b in html_extract.blocks('a < b <p title="x>y">c</p> <b>d<!-- e --> f<style>g</style> <i "h>i')] == ["a < b", "c", "d f i"]
+    assert [b[0] for b in html_extract.blocks("<p>x</p> 1 < 2")] == ["x", "1 < 2"]
+
+
 def test_field_on_held_out_layouts():
     field = html_extract.train(html_extract.labelled_pages(250, seed=5), steps=80)
     pages = html_extract.labelled_pages(100, seed=6)
@@ -167,6 +213,10 @@ def test_vectors_are_homomorphic(spark):
     v = {c: fingerprints.vector(fingerprints.paragraphs(F.col(c))) for c in "xyz"}
     r = df.select(fingerprints.combine(v["x"], v["y"]).alias("s"), v["z"].alias("z"), fingerprints.combine(v["z"], v["y"], -1).alias("d"), v["x"].alias("x")).first()
     assert r["s"] == r["z"] and r["d"] == r["x"]
+    many = spark.range(1).select(F.array_repeat(F.lit("same"), 2**20 + 3).alias("p"), F.array_repeat(F.lit("same"), 3).alias("few"))
+    r = many.select(fingerprints.vector(F.col("p")).alias("v"), fingerprints.vector(F.col("few")).alias("few")).first()
+    n = fingerprints.HASHES * fingerprints.SHIFTS
+    assert r["v"][:n] == r["few"][:n]  # each component is modulo 2**20 by itself
 
 
 # SentencePiece
@@ -202,10 +252,39 @@ def test_toxicity_learns_and_scores(spark):
     model = toxicity.train(df.where("doc_id < 300"))
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
     assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(300, 400))
-    assert toxicity.score(docs(spark).drop("score"), model).where("score between 0 and 1").count() == len(ODD)
+    scored = toxicity.score(docs(spark), model)
+    assert scored.where("score between 0 and 1").count() == len(ODD) and sorted(scored.columns) == sorted(docs(spark).columns)
+    assert len({r["score"] for r in scored.where("doc_id = 5").collect()}) == 1
     none = toxicity.train(df.where("doc_id < 0"))
-    assert max(r["score"] for r in toxicity.score(docs(spark).drop("score"), none).collect()) < 1e-9
-    assert toxicity.score(docs(spark, []).drop("score"), model).count() == 0
+    assert max(r["score"] for r in toxicity.score(docs(spark), none).collect()) < 1e-9
+    assert toxicity.score(docs(spark, []), model).count() == 0
+    odd = df.withColumn("doc_id", F.when(F.col("doc_id") > 5, F.col("doc_id"))).unionAll(df).withColumn("text", F.when(F.col("doc_id") % 50 > 0, F.col("text")))
+    assert np.isfinite(toxicity.train(odd).bias)
+
+
+def test_toxicity_counts_and_scores_against_brute_force(spark):
+    from collections import Counter
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["Ünï ", "日本語日本語 ", ""]) + words(rng, 12) + (" bad words" if i % 3 == 0 else " good words"), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    def grams(text):
+        t = text.lower()
+        return {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    slot_of = {g: int(next(s for n, s in zip(toxicity.ORDERS, toxicity._slots(g, (len(g),))))[0]) for _, t, _ in rows for g in grams(t)}
+    want = Counter((slot, y) for _, t, y in rows for slot in {slot_of[g] for g in grams(t)})
+    got = Counter()
+    for r in toxicity.slot_counts(df).where("slot >= 0").collect():
+        for k in range(toxicity.FOLDS):
+            got[r["slot"], 0] += r[f"clean_{k}"]
+            got[r["slot"], 1] += r[f"toxic_{k}"]
+    assert +got == want
+    model = toxicity.train(df)
+    for r in toxicity.score(df, model).collect():
+        margin = sum(float(model.weight[s]) for s in {slot_of[g] for g in grams(r["text"])}) + model.bias
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-margin)))
 
 
 def test_toxicity_tells_by_long_grams(spark):
@@ -335,16 +414,73 @@ def test_quotations(spark):
         (2, 0, "user", None),
         (None, None, "x", "> Sure."),
         (1, 5, "user", "> fine\nok"),
+        (1, 6, "user", "> never said\n> > ok\ndeep"),
+        (1, 12, "user", "> Sure.\nlate"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit(0))
     got = {(r["conv_id"], r["turn"]): (r["text"], r["parent_turn"], r["root_turn"], r["depth"]) for r in quotations.link_quotations(df).collect()}
     assert got == {
         (1, 0): ("Hello there, how are you?\nI need help.", None, 0, 0), (1, 1): ("Sure.", 0, 0, 1), (1, 2): ("Thanks!", 1, 0, 2), (1, 3): ("New topic", None, 3, 0),
         (1, 4): ("fine", 0, 0, 1), (2, 0): ("", None, 0, 0), (None, None): ("", None, None, 0), (1, 5): ("ok", 4, 0, 2),
+        (1, 6): ("deep", 5, 0, 3), (1, 12): ("late", 1, 0, 2),
     }
+    order = [r["turn"] for r in quotations.in_reply_order(quotations.link_quotations(df)).where("conv_id = 1").collect()]
+    assert order == [0, 1, 2, 12, 4, 5, 6, 3]
+    twice = quotations.link_quotations(df.unionAll(df).withColumn("text", F.when(F.col("turn") == 0, F.concat("text", F.lit("\n" + "x y. " * 30_000))).otherwise(F.col("text"))))
+    assert twice.count() == 2 * len(rows) and twice.where("turn = 5 and depth = 2 and root_turn = 0").count() == 2
     assert quotations.link_quotations(df.where("conv_id = 99")).count() == 0
 
 
+def test_paths_sort_like_turns(spark):
+    turns = [-(2**63), -300, -1, 0, 3, 9, 10, 99, 100, 2**40]
+    df = spark.createDataFrame([(t,) for t in turns], "t long").select("t", quotations.path_step(F.col("t")).alias("p"))
+    assert [r["t"] for r in sorted(df.collect(), key=lambda r: r["p"])] == turns
+
+
+def brute_parents(messages):
+    """The turn that each message answers, message by message: quoted lines and passages looked up in all earlier ones."""
+    import re
+    from itertools import groupby
+
+    def units(text, quoted):
+        lines = []
+        for line in (text or "").split("\n"):
+            m = re.match(r"^((?:[ \t]?>)+)[ \t]?(.*)$", line)
+            lines.append((m[1].count(">"), m[2]) if m else (0, line))
+        blocks = [(k, "\n".join(x[1] for x in g)) for k, g in groupby(lines, key=lambda x: x[0])]
+        plain = {(k, re.sub(r"[^a-z0-9]+", " ", body.lower()).strip()) for k, body in lines + blocks}
+        return {(k, u) for k, u in plain if u and (k > 0) == quoted}
+
+    out = {}
+    for conv, turn, text in messages:
+        sums = {}
+        for level, unit in units(text, True):
+            having = [t for c, t, x in messages if c == conv and (0, unit) in units(x, False)]
+            if having and min(having) < turn:
+                key = (-level, min(having))
+                sums[key] = sums.get(key, 0) + len(unit)
+        best = max(((k[0], n, k[1]) for k, n in sums.items()), default=None)
+        out[conv, turn] = best and best[2]
+    return out
+
+
+def test_parents_against_brute_force(spark):
+    rng = random.Random(11)
+    messages, said = [], {}
+    for conv in range(6):
+        for turn in range(12):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                old = rng.choice(said.get(conv, [words(rng, 4)]))
+                lines.append("> " * rng.randint(1, 3) + (old if rng.random() < 0.8 else words(rng, 3)))
+            mine = [rng.choice([words(rng, 3), "yes", "ok then"]) for _ in range(rng.randint(1, 3))]
+            said.setdefault(conv, []).extend(mine)
+            messages.append((conv, turn, "\n".join(lines + mine)))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in messages], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["parent_turn"] for r in quotations.link_quotations(df).collect()}
+    assert got == brute_parents(messages) and any(v is not None for v in got.values())
+
+
 # Embeddings
 
 
@@ -367,6 +503,22 @@ def test_vector_links_against_brute_force(spark):
     assert multi_index.links(df.where("vec_id < 0")).count() == 0
 
 
+def test_recall_on_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 24))
+    x = np.concatenate([base, base[:2400] + rng.normal(size=(2400, 24)) * 0.15, base[:300] + rng.normal(size=(300, 24)) * 0.1]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[0].tolist()), (3, x[3].tolist()), (3, x[3].tolist())], "vec_id long, embedding array<float>")
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = np.concatenate([y, y[[0, 3, 3]]])
+    want = (y @ y.T >= 0.95).sum() - len(y)
+    got = multi_index.links(df)
+    found = got.agg(F.sum("n_links")).first()[0]
+    assert want > 3000 and 0.9 * want <= found <= want
+    assert got.where("vec_id is null").first()["component_id"] is None and got.where("vec_id = 3").count() == 3
+    assert got.where("vec_id = 0").first()["component_id"] is None  # the null id is the smallest
+
+
 def test_traversal_goes_by_distance():
     rng = np.random.default_rng(0)
     one, two = rng.random(7), rng.random(5)
