@@ -87,5 +87,53 @@ def queries() -> dict:
     return {f.__name__: _with_package(f) for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
+#: A suffix is hexadecimal here, two digits a byte; runs are those of the bytes that a repeated string covers.
+OP2 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS p, h FROM d),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 800)) AS s FROM starts),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM strings SEMI JOIN twice USING (s)),
+runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, list(b ORDER BY a) AS stops, list(a ORDER BY a) AS starts, sum(b - a) AS gone FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, h, coalesce(gone, 0) AS gone, coalesce(len(starts), 0) AS n,
+         list_concat([0], coalesce(stops, [])) AS froms, list_concat(coalesce(starts, []), [length(h) // 2]) AS tos
+  FROM d LEFT JOIN edges USING (doc_id))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(froms) + 1), lambda i: substr(h, 2 * froms[i] + 1, 2 * (tos[i] - froms[i]))), ''))) AS kept_sha256
+FROM kept
+"""
+
+OP7 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM d),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, m.c AS component_id, doc_id = m.c AS kept
+FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = doc_id
+"""
+
+OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT vec_id, CAST((SELECT count(*) FROM links WHERE links.a = vec_id) AS BIGINT) AS n_links, m.c AS component_id, vec_id = m.c AS kept
+FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = vec_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """The operators that SQL can express on whole tables; the others are tested against brute force, the libraries or held-out labels."""
+    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9}

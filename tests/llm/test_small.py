@@ -551,6 +551,50 @@ def test_pieces_are_packed_once(spark):
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
+def test_pieces_against_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    rng = random.Random(13)
+    rows = [(i, words(rng, rng.randint(0, 700)) + rng.choice(["", "\n\n", " é  x"])) for i in range(30)] + ODD
+    want = []
+    for k, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        first = (len(ids) - 1) % 1024 + 1
+        at = 0
+        for piece, stop in enumerate(range(first, len(ids) + 1, 1024)):
+            want.append((k, piece, at, stop - at, zlib.crc32(ids[at:stop].tobytes())))
+            at = stop
+    got = packing.pack_documents(docs(spark, rows), BPE).collect()
+    assert sorted([(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_bins_against_the_optimum():
+    def optimum(lengths, capacity):
+        best = len(lengths)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + lengths[i] <= capacity:
+                    place(i + 1, [*bins[:b], bins[b] + lengths[i], *bins[b + 1 :]])
+            place(i + 1, [*bins, lengths[i]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(14)
+    for _ in range(60):
+        lengths = np.array([rng.randint(1, 20) for _ in range(rng.randint(1, 9))])
+        least = optimum(lengths.tolist(), 20)
+        assert packing.lower_bound(lengths, 20) <= least <= len(packing.repack(lengths, 20)[2]) <= least + 1
+
+
 def test_partitions_exchange(spark):
     rng = random.Random(6)
     df = spark.createDataFrame([(i, rng.randint(1, 1024)) for i in range(3000)], "piece_key long, length long")
