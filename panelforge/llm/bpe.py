@@ -37,7 +37,7 @@ def byte_alphabet() -> list[str]:
 class _Pieces(dict):
     """The ids of pieces as bytes; ``before`` is put before each, ``starts`` knows the pieces without it."""
 
-    def __init__(self, library, before: str, starts: "_Pieces | None" = None):
+    def __init__(self, library, before: str, starts: _Pieces | None = None):
         self.library, self.merge, self.before = library, library.model.tokenize, before
         self.starts = self if starts is None else starts
         self.alphabet = byte_alphabet()

@@ -23,16 +23,15 @@ def formula_sensitivity(configs: DataFrame, dataset: str = "dataset", r: str = "
 
 def winners(sensitivity: DataFrame, config: str, dataset: str = "dataset") -> DataFrame:
     """The best configuration by dataset and formula, the first by name among equals."""
-    top = sensitivity.groupBy(dataset, "formula").agg(F.max("score").alias("score"))
-    at = sensitivity.join(top, [dataset, "formula", "score"]).groupBy(dataset, "formula", "score").agg(F.min(config).alias("winner"))
-    return at
+    best = F.min_by(F.struct("score", F.col(config).alias("winner")), F.struct(-F.col("score"), F.col(config)))
+    return sensitivity.where(F.col("score").isNotNull()).groupBy(dataset, "formula").agg(best.alias("best")).select(dataset, "formula", "best.*")
 
 
 def bias_by_bin(df: DataFrame, by: str, target: str, models: Sequence[str], bins: int = 5) -> DataFrame:
-    """Mean of ``by`` and mean error of each model in each quantile bin."""
+    """Mean of ``by`` and bias (observed less predicted) of each model in each quantile bin."""
     binned = quantile_bins(df, by, bins)
     long = binned.unpivot(["bin", by, target], list(models), "model", "pred").where(F.col("pred").isNotNull() & F.col("bin").isNotNull())
-    return long.groupBy("model", "bin").agg(F.count("*").alias("n"), F.avg(by).alias("mean_by"), F.avg(F.col("pred") - F.col(target)).alias("bias"))
+    return long.groupBy("model", "bin").agg(F.count("*").alias("n"), F.avg(by).alias("mean_by"), F.avg(F.col(target) - F.col("pred")).alias("bias"))
 
 
 def spot_check(df: DataFrame, target: str, old: str, new: str, by: str) -> DataFrame:
@@ -52,8 +51,14 @@ def spot_check(df: DataFrame, target: str, old: str, new: str, by: str) -> DataF
     )
 
 
+def movers(df: DataFrame, by: str, key: str, old: str, new: str, top: int, least: float) -> DataFrame:
+    """Of the ``top`` rows by ``by`` (ties by ``key``) those whose predictions differ by over ``least``, with the difference."""
+    cohort = df.orderBy(F.desc_nulls_last(by), key).limit(top)
+    return cohort.withColumn("delta", F.col(new) - F.col(old)).where(F.abs("delta") > least)
+
+
 def predictor_table(df: DataFrame, predictors: Sequence[str], same: str, later: str, least: int = 30) -> DataFrame:
-    """Correlation of each predictor with the same and with a later outcome, ranked by the later one."""
+    """Correlation of each predictor with the same and with a later outcome, ranked by the same one, highest first."""
     long = df.unpivot([same, later], list(predictors), "metric", "value")
     both = F.when(F.col("value").isNotNull() & F.col(later).isNotNull(), 1)
     table = long.groupBy("metric").agg(
@@ -63,7 +68,7 @@ def predictor_table(df: DataFrame, predictors: Sequence[str], same: str, later:
         F.corr("value", later).alias("r_later"),
     )
     kept = table.where(F.col("n_same") >= least)
-    return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.abs("r_later")), "metric")))
+    return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("r_same"), "metric")))
 
 
 def leaderboard(rows: DataFrame, formula: str = "linear_050", r: str = "r", k: str = "cohort_bias", incumbent: float | None = None, margin: float = 0.01) -> DataFrame:

@@ -55,32 +55,41 @@ class Fit:
         return out
 
 
+def key_fold(folds: int, first: str, second: str) -> Column:
+    """A fold from two whole-number keys by arithmetic, the same whatever the row order."""
+    return F.pmod(F.col(first) * 31 + F.col(second), F.lit(folds)).cast("int")
+
+
 def hash_fold(folds: int, *keys: str, seed: int = 42) -> Column:
     """A fold from the keys alone, the same whatever the row order."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(folds)).cast("int")
 
 
 def moments(df: DataFrame, features: Sequence[str], target: str, by: str | Column = None) -> dict:
-    """Moments of the complete rows, by fold or season; sums are of values less the overall means."""
-    names = [*features, target]
+    """Moments of the complete rows, by fold or season, from one job.
+
+    Spark merges centred sums of its partitions (``avg``, ``covar_pop``), so nothing cancels and no pass for
+    the means comes first.
+    """
+    return moments_of(df, features, [target], by)[target]
+
+
+def moments_of(df: DataFrame, features: Sequence[str], targets: Sequence[str], by: str | Column = None) -> dict[str, dict]:
+    """The moments with each of several targets from one job over the rows in which all of them are there."""
+    names = [*features, *targets]
     rows = df.na.drop(subset=names)
-    shift = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
-    if shift is None or shift[names[0]] is None:
-        return {}
-    off = [F.col(c) - F.lit(float(shift[c])) for c in names]
-    p = len(names)
-    sums = [F.sum(o).alias(f"s{i}") for i, o in enumerate(off)]
-    sums += [F.sum(off[i] * off[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
+    p = len(features)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names)) if i < p or i == j]
+    sums = [F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]
+    sums += [F.covar_pop(names[i], names[j]).alias(f"p{i}_{j}") for i, j in pairs]
     key = F.lit(0) if by is None else (F.col(by) if isinstance(by, str) else by)
-    out = {}
+    out: dict[str, dict] = {t: {} for t in targets}
     for r in rows.groupBy(key.alias("_by")).agg(F.count("*").alias("n"), *sums).collect():
         n = float(r["n"])
-        s = np.array([r[f"s{i}"] for i in range(p)])
-        product = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                product[i, j] = product[j, i] = r[f"p{i}_{j}"]
-        out[r["_by"]] = Moments(n, s / n + np.array([shift[c] for c in names]), product - np.outer(s, s) / n, list(features))
+        for k, t in enumerate(targets, start=p):
+            at = [*range(p), k]
+            centred = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in at] for i in at]) * n
+            out[t][r["_by"]] = Moments(n, np.array([r[f"m{i}"] for i in at]), centred, list(features))
     return out
 
 
@@ -132,17 +141,29 @@ def ridge_search(folds: dict, alphas: Sequence[float] = ALPHAS) -> Fit:
 
 
 def k_fold_score(folds: dict) -> float:
-    """Root of the best mean R² over folds, 0 for a negative one."""
-    return float(np.sqrt(max(0.0, fold_scores(folds).max())))
+    """Root of the mean R² over folds, 0 for a negative one; the penalty of each is chosen on the other folds alone."""
+    scores = []
+    for held in sorted(folds):
+        rest = {k: m for k, m in folds.items() if k != held}
+        scores.append(_r2(ridge_search(rest) if len(rest) > 1 else solve(total(list(rest.values())), 1.0), folds[held]))
+    return float(np.sqrt(max(0.0, float(np.mean(scores)))))
 
 
 def metrics(target: str, pred: str, cohort: Column | None = None) -> list[Column]:
-    """Correlation, errors and biases of a prediction, overall and within a cohort, as aggregates."""
-    miss = F.col(pred) - F.col(target)
+    """Correlation, errors and biases of a prediction, overall and within a cohort, as aggregates.
+
+    A bias is the mean of what is observed less what was predicted.
+    """
+    miss = F.col(target) - F.col(pred)
     out = [F.count(miss).alias("n"), F.corr(pred, target).alias("r"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae"), F.avg(miss).alias("bias")]
     return out + ([F.avg(F.when(cohort, miss)).alias("cohort_bias")] if cohort is not None else [])
 
 
+def with_pooled(df: DataFrame, by: str, aggregates: Sequence[Column], target: str, pred: str) -> DataFrame:
+    """The aggregates by ``by``, with ``pooled_r``, the correlation over all rows together, in every row."""
+    return df.groupBy(by).agg(*aggregates).crossJoin(F.broadcast(df.agg(F.corr(pred, target).alias("pooled_r"))))
+
+
 def coefficient_table(spark, fits: dict, key: str = "held_out", kind: str = "int") -> DataFrame:
     """Fits as rows: one a held-out season, of which there are few."""
     rows = [(k, f.intercept, f.alpha, [float(c) for c in f.coefficients]) for k, f in sorted(fits.items())]

@@ -32,9 +32,12 @@ def first_by(value: str, *order: str) -> Column:
 
 
 def starters(events: DataFrame, side: Sequence[str], entity: str, order: Sequence[str]) -> DataFrame:
-    """Events of the entity that came first on each side of a session; first by explicit order."""
-    first = events.groupBy(*side).agg(first_by(entity, *order, entity).alias("_first"))
-    return events.join(first, list(side)).where(F.col(entity) == F.col("_first")).drop("_first")
+    """Events of the entity that came first on each side of a session; first by explicit order.
+
+    One exchange by side; a side is one session's events, so a window holds few rows.
+    """
+    first = first_by(entity, *order, entity).over(Window.partitionBy(*side))
+    return events.withColumn("_first", first).where(F.col(entity) == F.col("_first")).drop("_first")
 
 
 def qualified(panel: DataFrame, thresholds: Column) -> DataFrame:
@@ -96,3 +99,9 @@ def coverage(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, name: str) -> list[Column]:
     """Mean, median, extremes and sample deviation of a column, as aggregates."""
     return [F.avg(name).alias("mean"), F.median(name).alias("median"), F.min(name).alias("least"), F.max(name).alias("most"), F.stddev_samp(name).alias("std")]
+
+
+def named(df: DataFrame, names: DataFrame, key: str, name_key: str, name: str, out: str = "name") -> DataFrame:
+    """``df`` with the name of each key; NULL for an unknown one, the smallest where a key has several."""
+    one = names.groupBy(F.col(name_key).alias(key)).agg(F.min(name).alias(out))
+    return df.join(one, key, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import family_of, flag, safe_ratio, weighted_score
-from ..operators.panel import aggregate, count_flags, qualified, season_thresholds, with_rates
+from ..operators.panel import count_flags, qualified, season_thresholds, with_rates
 from ..session import table
 
 #: Seasons of the given tables, and what a row of a panel needs to count.
@@ -55,11 +55,28 @@ def sessions(ev: DataFrame) -> DataFrame:
 
 
 def season_panel(ev: DataFrame) -> DataFrame:
-    """Season counts, means and rates by entity, and the means over its sessions."""
-    value = {"value_rate": (F.col("price") * F.col("disc"), F.col("qty"))}
-    season = with_rates(aggregate(ev, ["entity", "season"], FLAGS, ["qty", "price", "disc"], value), RATES)
-    per = sessions(ev).groupBy("entity", "season").agg(F.count("*").alias("n_sessions"), F.avg("ip").alias("ip_per_session"), F.avg("k").alias("k_per_session"), F.avg("score").alias("target"))
-    return season.join(per, ["entity", "season"])
+    """Season counts, means and rates by entity, and the means over its sessions, from one scan.
+
+    Events are summed by session, and sessions rolled up: a season's mean is the sum over its sessions by their count.
+    """
+    means = ["qty", "price", "disc"]
+    parts = [*(F.sum(c).alias(f"sum_{c}") for c in means), *(F.count(c).alias(f"n_{c}") for c in means)]
+    by_session = ev.groupBy("entity", "season", "session").agg(
+        F.count("*").alias("n"), *count_flags(FLAGS), F.sum("outs").alias("outs"), *parts, F.sum(F.col("price") * F.col("disc")).alias("value"), F.sum("qty").alias("value_by")
+    )
+    scored = by_session.withColumn("ip", F.col("outs") / F.lit(3.0)).withColumn("score", weighted_score(WEIGHTS))
+    season = scored.groupBy("entity", "season").agg(
+        F.sum("n").alias("n_events"),
+        *(F.sum(c).alias(c) for c in FLAGS),
+        *(safe_ratio(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(f"avg_{c}") for c in means),
+        safe_ratio(F.sum("value"), F.sum("value_by")).alias("value_rate"),
+        F.count("*").alias("n_sessions"),
+        F.avg("ip").alias("ip_per_session"),
+        F.avg("k").alias("k_per_session"),
+        F.avg("score").alias("target"),
+    )
+    head = ["entity", "season", "n_events", *FLAGS, *(f"avg_{c}" for c in means), "value_rate"]
+    return with_rates(season, RATES).select(*head, *RATES, "n_sessions", "ip_per_session", "k_per_session", "target")
 
 
 def qualified_panel(panel: DataFrame) -> DataFrame:

@@ -32,6 +32,8 @@ def own_folder(spark) -> str:
     """A new folder among those that the driver and all executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="panelforge-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/{uuid.uuid4().hex}"
@@ -106,6 +108,17 @@ def s13_model_tables(spark, sf_dir):
     return p.select("entity", "season", fit.predict().alias("saved"), again.predict().alias("loaded"))
 
 
+@query(f"""{ALL}, s AS (SELECT avg(k_pct) AS xa, avg(target) AS ya, covar_pop(k_pct, target) / (var_pop(k_pct) * (1 + 10.0 / count(*))) AS c FROM panel)
+SELECT entity, season, round(ya + c * (k_pct - xa), 4) AS saved, round(ya + c * (k_pct - xa), 4) AS loaded FROM panel, s""")
+def s13_model_reload(spark, sf_dir):
+    """Predictions of a fit and of the same fit written and read again."""
+    path = own_folder(spark)
+    p = panel(spark, sf_dir)
+    fit = L.solve(L.moments(p, ["k_pct"], "target")[0], 10.0)
+    R.save_model(spark, path, fit, {"n": 1.0})
+    return rounded(p.select("entity", "season", fit.predict().alias("saved"), R.load_model(spark, path).predict().alias("loaded")), 4)
+
+
 @query("""SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total, CAST(round(3.3 * count_if(event_type = 'purchase') + count_if(event_type = 'click') - 2 * count_if(event_type = 'error'), 6) AS DOUBLE) AS score FROM events GROUP BY ALL""")
 def r1_refresh(spark, sf_dir):
     """User-days from a stream over the landed events, upserted by batch."""

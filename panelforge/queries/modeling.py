@@ -49,18 +49,20 @@ def a18_m1_m2_ridge(spark, sf_dir):
 
 
 @query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season <> h.held", 1, "held")}), e AS (SELECT season, target, k_pct, i + c * k_pct AS pred FROM panel JOIN f ON season = g)
-SELECT season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(pred - target), 4) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN pred - target END), 4) AS cohort_bias FROM e GROUP BY ALL""")
+SELECT season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(target - pred), 4) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN target - pred END), 4) AS cohort_bias,
+(SELECT round(corr(pred, target), 4) FROM e) AS pooled_r FROM e GROUP BY season""")
 def m3_out_of_season(spark, sf_dir):
+    """Every season held out in turn, with the correlation of all predictions together."""
     out = L.out_of_season(panel(spark, sf_dir), ["k_pct"], "target", alpha=1.0)
-    return rounded(out.groupBy("season").agg(*L.metrics("target", "pred", F.col("k_pct") > 0.5)).drop("mae"), 4)
+    return rounded(L.with_pooled(out, "season", L.metrics("target", "pred", F.col("k_pct") > 0.5), "target", "pred").drop("mae"), 4)
 
 
-@query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season < h.held", 1, "held")}), e AS (SELECT b.season AS to_season, b.target, i + c * a.k_pct AS pred FROM panel a JOIN panel b ON a.entity = b.entity AND b.season = a.season + 1 JOIN f ON g = b.season)
-SELECT to_season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(pred - target), 4) AS bias FROM e GROUP BY ALL""")
+@query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season < h.held", 1, "held")} HAVING any_value(n) >= 50), e AS (SELECT b.season AS to_season, b.target, i + c * a.k_pct AS pred FROM panel a JOIN panel b ON a.entity = b.entity AND b.season = a.season + 1 JOIN f ON g = b.season)
+SELECT to_season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(target - pred), 4) AS bias, (SELECT round(corr(pred, target), 4) FROM e) AS pooled_r FROM e GROUP BY to_season""")
 def m4_cross_season(spark, sf_dir):
     p = panel(spark, sf_dir)
-    out = L.cross_season(P.lag_join(p, "entity", "season", ["k_pct"], "target"), p, ["k_pct"], "target", alpha=1.0, least_rows=2)
-    return rounded(out.groupBy("to_season").agg(*L.metrics("next_target", "pred")).drop("mae"), 4)
+    out = L.cross_season(P.lag_join(p, "entity", "season", ["k_pct"], "target"), p, ["k_pct"], "target", alpha=1.0)
+    return rounded(L.with_pooled(out, "to_season", L.metrics("next_target", "pred"), "next_target", "pred").drop("mae"), 4)
 
 
 @query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season <> h.held", 1, "held")}), e AS (SELECT entity, season, target - i - c * k_pct AS residual FROM panel JOIN f ON season = g)
@@ -70,7 +72,7 @@ def m7_residual_lag(spark, sf_dir):
     return rounded(W.lags(out, "entity", ["season"], ["residual"], [1]).select("entity", "season", "residual", "residual_lag1"), 4)
 
 
-@query(f"""{ALL} SELECT count(*) AS n, round(corr(k_pct * 10, target), 4) AS r, round(avg(k_pct * 10 - target), 6) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN k_pct * 10 - target END), 6) AS cohort_bias, round(avg(n_sessions), 6) AS sessions FROM panel WHERE season = 2001 AND n_sessions >= 5""")
+@query(f"""{ALL} SELECT count(*) AS n, round(corr(k_pct * 10, target), 4) AS r, round(avg(target - k_pct * 10), 6) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN target - k_pct * 10 END), 6) AS cohort_bias, round(avg(n_sessions), 6) AS sessions FROM panel WHERE season = 2001 AND n_sessions >= 5""")
 def m6_in_season(spark, sf_dir):
     now = _scored(spark, sf_dir).where("season = 2001 AND n_sessions >= 5")
     out = now.agg(*L.metrics("target", "old", F.col("k_pct") > 0.5), F.avg("n_sessions").alias("sessions")).drop("rmse", "mae")
@@ -88,6 +90,41 @@ def m2_m15_ridge_search(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, coefficient double, standardized double, alpha double").orderBy(F.desc(F.abs("standardized")))
 
 
+_SEARCH = """f AS (SELECT (entity * 31 + season) % 5 AS fold, k_pct AS x, target AS y FROM panel), al AS (SELECT i, pow(10, -1 + 6.0 * i / 79) AS a FROM range(80) t(i)), s AS (SELECT stddev_pop(x) AS sd, avg(x) AS xa, avg(y) AS ya, covar_pop(x, y) * count(*) AS xy, count(*) AS n FROM f),
+tr AS (SELECT h.fold, avg(x) AS xm, avg(y) AS ym, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM f JOIN (SELECT DISTINCT fold FROM f) h ON f.fold <> h.fold GROUP BY h.fold),
+co AS (SELECT fold, i, a, sxy / sd / (sxx / (sd * sd) + a) / sd AS c, xm, ym FROM tr, al, s),
+sc AS (SELECT i, a, 1 - sum((y - ym - c * (x - xm)) * (y - ym - c * (x - xm))) / (var_pop(y) * count(*)) AS r2 FROM co JOIN f USING (fold) GROUP BY fold, i, a),
+best AS (SELECT a FROM sc GROUP BY i, a ORDER BY round(avg(r2), 12) DESC, i LIMIT 1)"""
+
+
+@query(f"""{ALL}, {_SEARCH} SELECT round(a, 4) AS alpha, round(xy / sd / (n + a) / sd, 4) AS coefficient, round(ya - xy / sd / (n + a) / sd * xa, 4) AS intercept FROM best, s""")
+def m2_penalty_search(spark, sf_dir):
+    """The penalty that five folds choose among eighty, and the fit with it, on one feature."""
+    fit = L.ridge_search(L.moments(panel(spark, sf_dir), ["k_pct"], "target", L.key_fold(5, "entity", "season")))
+    return spark.createDataFrame([(round(fit.alpha, 4), round(float(fit.coefficients[0]), 4), round(fit.intercept, 4))], "alpha double, coefficient double, intercept double")
+
+
+#: Named sets of features, with the tag that says whether a set looks at the target's own season.
+COMBINATIONS = {"rates": ("clean", ["k_pct", "swing_pct", "hit_pct"]), "volume": ("clean", ["avg_qty", "zone_pct"]), "rates_volume": ("clean", FEATURES), "depth": ("semi_circular", ["k_pct", "ip_per_session"])}
+
+
+@query()
+def m12_combinations(spark, sf_dir):
+    """Nested cross-validation of named feature sets, all from one aggregate."""
+    names = list(dict.fromkeys(f for _, fs in COMBINATIONS.values() for f in fs))
+    folds = _folds(spark, sf_dir, names, 10)
+    rows = [(name, tag, ",".join(fs), L.k_fold_score({k: m.only(fs) for k, m in folds.items()})) for name, (tag, fs) in COMBINATIONS.items()]
+    return spark.createDataFrame(rows, "name string, tag string, features string, score double").orderBy(F.desc("score"), "name")
+
+
+@query(f"""{ALL}, t AS (SELECT entity, k_pct, k_pct * 10 AS o, k_pct * 9 + swing_pct AS w, target FROM panel WHERE season = 2001 ORDER BY target DESC, entity LIMIT 25)
+SELECT entity, round(o, 6) AS old, round(w, 6) AS new, round(w - o, 6) AS delta, round(target, 6) AS target FROM t WHERE abs(w - o) > 0.5""")
+def m22_top_movers(spark, sf_dir):
+    """Of the 25 entities with the best target of the season those that two models see more than half a point apart."""
+    now = _scored(spark, sf_dir).where("season = 2001").select("entity", "old", "new", "target")
+    return rounded(K.movers(now, "target", "entity", "old", "new", 25, 0.5))
+
+
 @query()
 def m5_m10_m11_m12_screen(spark, sf_dir):
     folds = _folds(spark, sf_dir, k=10)
@@ -107,7 +144,7 @@ def m24_polynomials(spark, sf_dir):
     return spark.createDataFrame(L.screen(folds, ["k_pct", "swing_pct"], ["log_k", "sq_k"]), "kind string, feature string, score double, gain double")
 
 
-_CONFIGS = """cfg AS (SELECT 'season ' || season AS config, CASE WHEN season < 1999 THEN 'early' ELSE 'late' END AS dataset, round(corr(k_pct, target), 4) AS r, round(avg(CASE WHEN k_pct > 0.5 THEN k_pct * 10 - target END), 4) AS k_bias FROM panel GROUP BY season)"""
+_CONFIGS = """cfg AS (SELECT 'season ' || season AS config, CASE WHEN season < 1999 THEN 'early' ELSE 'late' END AS dataset, round(corr(k_pct, target), 4) AS r, round(avg(CASE WHEN k_pct > 0.5 THEN target - k_pct * 10 END), 4) AS k_bias FROM panel GROUP BY season)"""
 _FORMULAS = {
     "linear_050": "3 * r - 0.5 * abs(k_bias)", "linear_025": "3 * r - 0.25 * abs(k_bias)", "linear_010": "3 * r - 0.1 * abs(k_bias)", "linear_100": "3 * r - abs(k_bias)",
     "tolerance_050": "3 * r - 0.5 * greatest(abs(k_bias) - 0.5, 0)", "tolerance_070": "3 * r - 0.5 * greatest(abs(k_bias) - 0.7, 0)", "tolerance_100": "3 * r - 0.5 * greatest(abs(k_bias) - 1.0, 0)",
@@ -118,7 +155,7 @@ _LONG = "lng AS (" + " UNION ALL ".join(f"SELECT config, dataset, r, k_bias, '{n
 
 def _configs(spark, sf_dir):
     p = panel(spark, sf_dir)
-    out = p.groupBy("season").agg(F.round(F.corr("k_pct", "target"), 4).alias("r"), F.round(F.avg(F.when(F.col("k_pct") > 0.5, F.col("k_pct") * 10 - F.col("target"))), 4).alias("k_bias"))
+    out = p.groupBy("season").agg(F.round(F.corr("k_pct", "target"), 4).alias("r"), F.round(F.avg(F.when(F.col("k_pct") > 0.5, F.col("target") - F.col("k_pct") * 10)), 4).alias("k_bias"))
     return out.select(F.concat(F.lit("season "), F.col("season").cast("string")).alias("config"), F.when(F.col("season") < 1999, "early").otherwise("late").alias("dataset"), "r", "k_bias")
 
 
@@ -176,7 +213,7 @@ _PRED = """nx AS (SELECT a.*, b.target AS later FROM panel a LEFT JOIN panel b O
 ml AS (SELECT 'k_pct' AS metric, k_pct AS v, target, later FROM nx UNION ALL SELECT 'swing_pct', swing_pct, target, later FROM nx UNION ALL SELECT 'avg_qty', avg_qty, target, later FROM nx)"""
 
 
-@query(f"""{ALL}, {_PRED} SELECT metric, count(*) AS n_same, round(corr(v, target), 4) AS r_same, count(later) AS n_later, round(corr(v, later), 4) AS r_later, CAST(row_number() OVER (ORDER BY abs(corr(v, later)) DESC, metric) AS INT) AS position FROM ml GROUP BY metric""")
+@query(f"""{ALL}, {_PRED} SELECT metric, count(*) AS n_same, round(corr(v, target), 4) AS r_same, count(later) AS n_later, round(corr(v, later), 4) AS r_later, CAST(row_number() OVER (ORDER BY corr(v, target) DESC NULLS LAST, metric) AS INT) AS position FROM ml GROUP BY metric""")
 def m20_predictors(spark, sf_dir):
     p = panel(spark, sf_dir)
     later = p.select("entity", (F.col("season") - 1).alias("season"), F.col("target").alias("later"))
@@ -245,9 +282,9 @@ def d1_d2_d3_d4_variants(spark, sf_dir):
     heavy = [L.Moments(m.n * weights[s], m.mean, m.centred * weights[s], m.names) for s, m in by.items()]
     preds = {"weighted": L.solve(L.total(heavy), 1.0).predict()}
     high = F.col("k_pct") > 0.5
-    two = {flag: L.solve(L.total(list(L.moments(p.where(high if flag else ~high), FEATURES, "target", "season").values())), 1.0) for flag in (True, False)}
+    two = {flag: L.solve(m, 1.0) for flag, m in L.moments(p, FEATURES, "target", high).items()}
     preds["two_tier"] = F.when(high, two[True].predict()).otherwise(two[False].predict())
-    parts = {c: L.solve(L.total(list(L.moments(p, FEATURES, c, "season").values())), 1.0).predict() for c in ("k_per_session", "ip_per_session")}
+    parts = {c: L.solve(m[0], 1.0).predict() for c, m in L.moments_of(p, FEATURES, ["k_per_session", "ip_per_session"]).items()}
     preds["components"] = parts["k_per_session"] + 3.3 * parts["ip_per_session"]
     base = L.solve(L.total(list(by.values())), 1.0).predict()
     miss = p.withColumn("miss", F.col("target") - base)

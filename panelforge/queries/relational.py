@@ -154,7 +154,7 @@ def a8_w6_mix_entropy(spark, sf_dir):
 
 
 @query(f"""{ALL} SELECT season, count(*) AS n, round(corr(k_pct, target), 4) AS r, round(sqrt(avg((k_pct * 10 - target) * (k_pct * 10 - target))), 6) AS rmse, round(avg(abs(k_pct * 10 - target)), 6) AS mae,
-round(avg(k_pct * 10 - target), 6) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN k_pct * 10 - target END), 6) AS cohort_bias, CAST(count_if(k_pct > 0.5) AS BIGINT) AS n_cohort FROM panel GROUP BY ALL""")
+round(avg(target - k_pct * 10), 6) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN target - k_pct * 10 END), 6) AS cohort_bias, CAST(count_if(k_pct > 0.5) AS BIGINT) AS n_cohort FROM panel GROUP BY ALL""")
 def a9_a10_a16_p16_metrics(spark, sf_dir):
     from ..operators.linear import metrics
 
@@ -224,3 +224,22 @@ def d8_d9_first_rate(spark, sf_dir):
     f = ev.groupBy("entity", "season", "session").agg(P.first_by("swing", *order).alias("first_swing"))
     f = f.groupBy("entity", "season").agg((F.count_if(F.col("first_swing")) / F.count("*")).alias("first_rate"))
     return rounded(f.join(ev.groupBy("entity", "season").agg(F.stddev_samp("qty").alias("qty_std")), ["entity", "season"]))
+
+
+@query(f"""{ALL} SELECT entity, season, s_name AS name, n_events, round(target, 6) AS target FROM panel LEFT JOIN supplier ON s_suppkey = entity""")
+def j10_names(spark, sf_dir):
+    """The panel with its entities' names."""
+    return rounded(P.named(panel(spark, sf_dir).select("entity", "season", "n_events", "target"), table(spark, sf_dir, "supplier"), "entity", "s_suppkey", "s_name"))
+
+
+#: Features with the tag that says what they know of the target: nothing of it, its own season, or the target itself.
+TAGS = {"k_pct": "clean", "swing_pct": "clean", "hit_pct": "clean", "avg_qty": "clean", "ip_per_session": "semi_circular", "k_per_session": "semi_circular", "target": "circular"}
+
+
+@query(f"""{ALL} """ + " UNION ALL ".join(f"""SELECT '{f}' AS feature, '{t}' AS tag, count({f}) AS n, round(corr({f}, target), 4) AS r FROM panel""" for f, t in TAGS.items()))
+def d12_feature_registry(spark, sf_dir):
+    """Every feature with its provenance tag, how many rows have it, and its correlation with the target."""
+    p = panel(spark, sf_dir)
+    seen = p.agg(*[F.count(f).alias(f"n_{f}") for f in TAGS], *[F.corr(f, "target").alias(f"r_{f}") for f in TAGS])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("tag"), F.col(f"n_{f}").alias("n"), F.col(f"r_{f}").alias("r")) for f, t in TAGS.items()])
+    return rounded(seen.select(F.inline(rows)), 4)

@@ -58,7 +58,7 @@ def w11_latest(spark, sf_dir):
 
 @query(f"""{ALL}, q AS (SELECT quantile_cont(k_pct, [0.2, 0.4, 0.6, 0.8]) AS e FROM panel), b AS (SELECT *, CAST((k_pct > e[1])::INT + (k_pct > e[2])::INT + (k_pct > e[3])::INT + (k_pct > e[4])::INT AS INT) AS bin FROM panel, q),
 m AS (SELECT 'flat' AS model, bin, k_pct, 5.0 AS pred, target FROM b UNION ALL SELECT 'scaled', bin, k_pct, k_pct * 10, target FROM b)
-SELECT model, bin, count(*) AS n, round(avg(k_pct), 6) AS mean_by, round(avg(pred - target), 6) AS bias FROM m GROUP BY ALL""")
+SELECT model, bin, count(*) AS n, round(avg(k_pct), 6) AS mean_by, round(avg(target - pred), 6) AS bias FROM m GROUP BY ALL""")
 def w12_a14_bias_by_bin(spark, sf_dir):
     p = panel(spark, sf_dir).select("entity", "season", "k_pct", "target", F.lit(5.0).alias("flat"), (F.col("k_pct") * 10).alias("scaled"))
     return rounded(bias_by_bin(p, "k_pct", "target", ["flat", "scaled"]))

@@ -184,3 +184,47 @@ def test_refresh_loses_no_event_of_a_long_table(spark, tmp_path):
     events = spark.range(4000).selectExpr("id AS event_id", "id % 97 AS user_id", "timestamp'2024-01-01' + make_dt_interval(id % 200) AS ts", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert Q.queries()["r1_refresh"](spark, str(tmp_path)).selectExpr("sum(n)").first()[0] == 4000
+
+
+def test_bias_is_observed_less_predicted(spark):
+    """By hand: 3 seen and 5 predicted is -2; 4 and 3 is 1; the cohort holds the first alone."""
+    df = spark.createDataFrame([(3.0, 5.0, 0.6), (4.0, 3.0, 0.2)], "y double, p double, k double")
+    r = df.agg(*L.metrics("y", "p", F.col("k") > 0.5)).first()
+    assert (r["bias"], r["cohort_bias"], r["mae"]) == (-0.5, -2.0, 1.5)
+    b = {x["bin"]: x["bias"] for x in K.bias_by_bin(df, "k", "y", ["p"], 2).collect()}
+    assert b == {0: 1.0, 1: -2.0}
+
+
+def test_predictors_rank_by_the_same_session(spark):
+    rows = [(float(i), float(i), -float(i) + (i % 3), float((i * 7) % 11)) for i in range(40)]
+    df = spark.createDataFrame(rows, "same double, a double, later double, b double")
+    got = {r["metric"]: r for r in K.predictor_table(df, ["a", "b"], "same", "later").collect()}
+    assert got["a"]["position"] == 1 and got["b"]["position"] == 2 and got["a"]["r_later"] < 0
+
+
+def test_nested_score_picks_the_penalty_without_the_fold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i % 5, *map(float, rng.normal(size=4))) for i in range(60)]  # noise: nothing to find
+    folds = L.moments(spark.createDataFrame(rows, "f int, a double, b double, c double, y double"), ["a", "b", "c"], "y", "f")
+    nested = [L._r2(L.ridge_search({k: m for k, m in folds.items() if k != held}), folds[held]) for held in folds]
+    assert np.mean(nested) <= L.fold_scores(folds).max() + 1e-12
+    assert L.k_fold_score(folds) == np.sqrt(max(0.0, np.mean(nested)))
+
+
+def test_moments_of_several_targets_and_far_from_zero(spark):
+    import numpy as np
+
+    x = np.arange(30) % 7 + 1e9
+    df = spark.createDataFrame([(float(a), float(a * 2), float(-a)) for a in x], "x double, y double, z double")
+    both = L.moments_of(df, ["x"], ["y", "z"])
+    assert abs(L.solve(both["y"][0], 1e-9).coefficients[0] - 2) < 1e-6 and abs(L.solve(both["z"][0], 1e-9).coefficients[0] + 1) < 1e-6
+    assert np.allclose(both["y"][0].centred[0, 0], ((x - x.mean()) ** 2).sum())
+
+
+def test_names_and_movers(spark):
+    df = spark.createDataFrame([(1, 5.0, 1.0, 2.0), (2, 4.0, 1.0, 1.2), (9, 1.0, 0.0, 3.0)], "e int, t double, o double, w double")
+    names = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "k int, n string")
+    assert {r["e"]: r["name"] for r in P.named(df, names, "e", "k", "n").collect()} == {1: "a", 2: None, 9: None}
+    assert [r["e"] for r in K.movers(df, "t", "e", "o", "w", 2, 0.5).collect()] == [1]
