@@ -228,3 +228,13 @@ def test_names_and_movers(spark):
     names = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "k int, n string")
     assert {r["e"]: r["name"] for r in P.named(df, names, "e", "k", "n").collect()} == {1: "a", 2: None, 9: None}
     assert [r["e"] for r in K.movers(df, "t", "e", "o", "w", 2, 0.5).collect()] == [1]
+
+
+def test_fold_scores_for_all_penalties_at_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 4, *map(float, rng.normal(size=3)), 1.0) for i in range(50)]
+    folds = L.moments(spark.createDataFrame([(f, a, b, c, a - b + c) for f, a, b, _, c in rows], "f int, a double, b double, flat double, y double"), ["a", "b", "flat"], "y", "f")
+    scale = np.sqrt(np.diag(L.total(list(folds.values())).centred)[:3] / 50)
+    for alpha, got in zip(L.ALPHAS[::13], L.fold_scores(folds)[::13]):
+        each = [L._r2(L.solve(L.total([m for k, m in folds.items() if k != held]), alpha, scale), folds[held]) for held in folds]
+        assert got == pytest.approx(np.mean(each), abs=1e-9)
