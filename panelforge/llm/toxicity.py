@@ -23,7 +23,9 @@ from .common import sized_hint, written
 ORDERS = (4, 5, 6, 7)
 BITS = 20
 #: Folds and thresholds of the cross-validation, the score that decides there, and rows of a class that it fits at most.
-FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 2_000
+FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 1_000
+#: Steps of a regression, in cross-validation and of the last one, and features that one step holds at a time.
+STEPS, LAST_STEPS, HELD = 60, 300, 1 << 20
 #: Columns of the counts.
 COUNTS = [f"{c}_{k}" for k in range(FOLDS) for c in ("clean", "toxic")]
 
@@ -118,6 +120,7 @@ def _sparse(rows: DataFrame, shares: list[float], slots: np.ndarray) -> tuple[np
     lists = sample.column("slots").combine_chunks()
     column = index[lists.flatten().to_numpy()]
     owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    del lists
     return sample.column("toxic").to_numpy().astype(np.float64), sample.column("fold").to_numpy(), owner, column
 
 
@@ -148,7 +151,7 @@ def choose_tells(counts: DataFrame, seen: dict[str, int], rows: DataFrame, sampl
             kept = apart[column] > t
             learn, held = kept & fit_row[owner], kept & ~fit_row[owner]
             some = scale[apart > t]
-            weight, bias = _logistic(place[owner[learn]], new[column[learn]], some, y[fit_row])
+            weight, bias = _logistic(place[owner[learn]], new[column[learn]], some, y[fit_row], STEPS)
             margin = np.bincount(held_place[owner[held]], weights=(weight * some)[new[column[held]]], minlength=int((~fit_row).sum())) + bias
             truth, weigh = y[~fit_row], stands[~fit_row]
             wrong = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) >= CUT) != (truth == 1)
@@ -156,7 +159,7 @@ def choose_tells(counts: DataFrame, seen: dict[str, int], rows: DataFrame, sampl
     return min(TELLS, key=lambda t: tuple(judged[t]))
 
 
-def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float | None = None, seed: int = 0) -> Model:
+def train(labelled: DataFrame, sample_rows: int = 4_000, tells: float | None = None, seed: int = 0) -> Model:
     """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
 
     The class counts cover all labelled rows; all slots beyond ``tells`` standard errors become features, as
@@ -182,17 +185,24 @@ def train(labelled: DataFrame, sample_rows: int = 10_000, tells: float | None =
     return Model(table, bias)
 
 
-def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression over sparse features (owner, column) of size ``scale``."""
+def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = LAST_STEPS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over sparse features (owner, column) of size ``scale``, ordered by owner.
+
+    A step takes ``HELD`` features at a time, so that its memory doesn't grow with the sample.
+    """
     rows, width = len(y), len(scale)
     weight, bias = np.zeros(width), float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
-    balance = 1 / max(rows, 1)
     first, second = np.zeros(width + 1), np.zeros(width + 1)
-    owner, column = owner.astype(np.intp), column.astype(np.intp)
+    owner, column = owner.astype(np.int32), column.astype(np.int32)
+    parts = [slice(at, at + HELD) for at in range(0, len(owner), HELD)]
     for step in range(1, steps + 1):
-        margin = np.bincount(owner, weights=(weight * scale)[column], minlength=rows) + bias
-        slope = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        grad = np.append(scale * np.bincount(column, weights=slope[owner], minlength=width) + decay * weight, slope.sum())
+        scaled, margin, grad = weight * scale, np.full(rows, bias), np.zeros(width)
+        for part in parts:
+            margin += np.bincount(owner[part], weights=scaled[column[part]], minlength=rows)
+        slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / max(rows, 1)
+        for part in parts:
+            grad += np.bincount(column[part], weights=slope[owner[part]], minlength=width)
+        grad = np.append(scale * grad + decay * weight, slope.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
