@@ -23,7 +23,7 @@ from .common import sized_hint, written
 ORDERS = (4, 5, 6, 7)
 BITS = 20
 #: Folds and thresholds of the cross-validation, the score that decides there, and rows of a class that it fits at most.
-FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 1_000
+FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 500
 #: Steps of a regression, in cross-validation and of the last one, and features that one step holds at a time.
 STEPS, LAST_STEPS, HELD = 60, 300, 1 << 20
 #: Columns of the counts.
@@ -159,7 +159,7 @@ def choose_tells(counts: DataFrame, seen: dict[str, int], rows: DataFrame, sampl
     return min(TELLS, key=lambda t: tuple(judged[t]))
 
 
-def train(labelled: DataFrame, sample_rows: int = 4_000, tells: float | None = None, seed: int = 0) -> Model:
+def train(labelled: DataFrame, sample_rows: int = 1_500, tells: float | None = None, seed: int = 0) -> Model:
     """Fit on ``labelled(doc_id, text, toxic)``; rows with another label than 0 or 1 are left out.
 
     The class counts cover all labelled rows; all slots beyond ``tells`` standard errors become features, as
