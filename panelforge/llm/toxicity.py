@@ -57,7 +57,10 @@ def _slots(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Ite
 def features(text: str | None, kept: np.ndarray | None = None) -> np.ndarray:
     """The distinct slots that a text has, those under ``kept`` only where it is given."""
     found = [s if kept is None else s[kept[s]] for s in _slots(text or "")]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint32)
+    if not found:
+        return np.zeros(0, dtype=np.uint32)
+    slots = np.sort(np.concatenate(found))
+    return slots[np.append(True, slots[1:] != slots[:-1])] if len(slots) else slots
 
 
 def slot_counts(labelled: DataFrame) -> DataFrame:
