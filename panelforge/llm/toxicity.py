@@ -24,7 +24,7 @@ ORDERS = (4, 5, 6, 7)
 BITS = 20
 #: Folds and thresholds of the cross-validation, the score that decides there, and rows of a class that it fits at most.
 FOLDS, TELLS, CUT, JUDGED = 3, (2.0, 2.5, 3.0), 0.7, 500
-#: Steps of a regression, in cross-validation and of the last one, and features that one step holds at a time.
+#: Steps of a regression, in cross-validation and of the last one, and features that it adds up at a time.
 STEPS, LAST_STEPS, HELD = 60, 300, 1 << 20
 #: Columns of the counts.
 COUNTS = [f"{c}_{k}" for k in range(FOLDS) for c in ("clean", "toxic")]
@@ -188,24 +188,39 @@ def train(labelled: DataFrame, sample_rows: int = 1_500, tells: float | None = N
     return Model(table, bias)
 
 
-def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = LAST_STEPS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression over sparse features (owner, column) of size ``scale``, ordered by owner.
+class _Sums:
+    """Sums over ``picks`` of the values of a table, one for each of ``groups``, whose sorted numbers stand beside the picks.
 
-    A step takes ``HELD`` features at a time, so that its memory doesn't grow with the sample.
+    A part of at most ``HELD`` picks, and one group more, is held at a time, so that memory doesn't grow with the sample.
     """
+
+    def __init__(self, groups: np.ndarray, picks: np.ndarray, width: int):
+        counts = np.bincount(groups, minlength=width)
+        self.picks, self.width, self.some = picks, width, np.flatnonzero(counts)
+        self.starts = np.append(0, np.cumsum(counts[self.some]))
+        self.cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(picks), HELD)), len(self.some)))
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.width)
+        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
+            low = self.starts[a]
+            out[self.some[a:b]] = np.add.reduceat(values[self.picks[low : self.starts[b]]], self.starts[a:b] - low)
+        return out
+
+
+def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, steps: int = LAST_STEPS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over sparse features (owner, column) of size ``scale``, ordered by owner."""
     rows, width = len(y), len(scale)
     weight, bias = np.zeros(width), float(np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
-    owner, column = owner.astype(np.int32), column.astype(np.int32)
-    parts = [slice(at, at + HELD) for at in range(0, len(owner), HELD)]
+    by_column = np.argsort(column, kind="stable").astype(np.int32)
+    margins = _Sums(owner, column.astype(np.int32), rows)
+    slopes = _Sums(column[by_column], owner[by_column].astype(np.int32), width)
+    del by_column
     for step in range(1, steps + 1):
-        scaled, margin, grad = weight * scale, np.full(rows, bias), np.zeros(width)
-        for part in parts:
-            margin += np.bincount(owner[part], weights=scaled[column[part]], minlength=rows)
+        margin = bias + margins.of(weight * scale)
         slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / max(rows, 1)
-        for part in parts:
-            grad += np.bincount(column[part], weights=slope[owner[part]], minlength=width)
-        grad = np.append(scale * grad + decay * weight, slope.sum())
+        grad = np.append(scale * slopes.of(slope) + decay * weight, slope.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
