@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers at most, and characters of the longest that it does.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 20, 64
 
 #: Latin letters, then marks: two pieces in the eyes of the pre-tokenizer.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
