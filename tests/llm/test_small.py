@@ -551,7 +551,7 @@ def test_pieces_are_packed_once(spark):
     assert packing.pack_documents(docs(spark, []), BPE).count() == 0
 
 
-def test_pieces_against_the_library(spark):
+def test_packed_pieces_against_the_library(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
