@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
+from . import decontaminate, fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -69,7 +69,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing, op13_decontamination)
 
 
 def _with_package(query):
@@ -134,6 +139,27 @@ FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = ve
 """
 
 
+#: Windows of a document's words are joined to those of the items by length, as short items are windows of fewer words.
+OP13 = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+sized AS (SELECT item, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s FROM sized),
+lengths AS (SELECT DISTINCT n FROM win),
+starts AS (SELECT row, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n),
+hits AS (SELECT row, i, starts.n, item FROM starts JOIN win ON win.n = starts.n AND win.s = array_to_string(w[i:i + starts.n - 1], ' ')),
+hit_words AS (SELECT row, count(DISTINCT p) AS c FROM (SELECT row, unnest(range(i, i + n)) AS p FROM hits) GROUP BY row),
+hit_items AS (SELECT row, count(DISTINCT item) AS c, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.c, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.c, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.c, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h USING (row) LEFT JOIN hit_items t USING (row)
+"""
+
+
 def oracle_sql() -> dict:
     """The operators that SQL can express on whole tables; the others are tested against brute force, the libraries or held-out labels."""
-    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9}
+    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9, "op13_decontamination": OP13}
