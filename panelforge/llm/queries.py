@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
+from . import collocations, decontaminate, fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -69,12 +69,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing, op13_decontamination)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing, op12_collocations, op13_decontamination)
 
 
 def _with_package(query):
@@ -139,6 +143,28 @@ FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = ve
 """
 
 
+OP12 = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+words AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS c, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, m, c AS a, w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, x.c AS l, y.c AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (x.c + y.c) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:k], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[k + 1:cuts.m], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (SELECT lang, c, w, m, s, unnest(range(1, m - s + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS s) WHERE s < m),
+inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(c) AS c FROM inner_of GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE inside.c IS NULL OR 100 * inside.c < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
 #: Windows of a document's words are joined to those of the items by length, as short items are windows of fewer words.
 OP13 = """
 WITH d AS (
@@ -162,4 +188,4 @@ FROM d LEFT JOIN hit_words h USING (row) LEFT JOIN hit_items t USING (row)
 
 def oracle_sql() -> dict:
     """The operators that SQL can express on whole tables; the others are tested against brute force, the libraries or held-out labels."""
-    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9, "op13_decontamination": OP13}
+    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9, "op12_collocations": OP12, "op13_decontamination": OP13}
