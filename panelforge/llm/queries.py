@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
+from . import collocations, decontaminate, divergence, fingerprints, html_extract, minhash, multi_index, packing, prefix_bpe, quotations, suffixes, token_output, toxicity
 from .common import read_table, ship
 
 
@@ -69,6 +69,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read_table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing, op12_collocations, op13_decontamination)
+_OPERATORS = (op1_html_extraction, op2_suffix_dedup, op3_fingerprints, op4_prefix_table, op5_toxicity, op6_token_output, op7_minhash, op8_quotations, op9_multi_index, op10_best_fit_packing, op11_source_divergence, op12_collocations, op13_decontamination)
 
 
 def _with_package(query):
@@ -143,6 +147,30 @@ FROM embeddings JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = ve
 """
 
 
+OP11 = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents),
+occ AS (SELECT row, lang, source, unnest(t) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1) // (n + v) AS BIGINT) AS p
+  FROM g JOIN kept ON kept.lang = g.lang JOIN size ON size.lang = g.lang LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = kept.term),
+q AS (
+  SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(c) + 1) // (any_value(n) + any_value(v)) AS BIGINT) AS q
+  FROM p JOIN (SELECT lang, sum(n) AS n FROM g GROUP BY lang) USING (lang) JOIN size USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+told AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM told) QUALIFY part = 'pair' OR rank <= 200
+"""
+
 OP12 = """
 WITH d AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
@@ -188,4 +216,4 @@ FROM d LEFT JOIN hit_words h USING (row) LEFT JOIN hit_items t USING (row)
 
 def oracle_sql() -> dict:
     """The operators that SQL can express on whole tables; the others are tested against brute force, the libraries or held-out labels."""
-    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9, "op12_collocations": OP12, "op13_decontamination": OP13}
+    return {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op9_multi_index": OP9, "op11_source_divergence": OP11, "op12_collocations": OP12, "op13_decontamination": OP13}
