@@ -57,26 +57,26 @@ def sessions(ev: DataFrame) -> DataFrame:
 def season_panel(ev: DataFrame) -> DataFrame:
     """Season counts, means and rates by entity, and the means over its sessions, from one scan.
 
-    Events are summed by session, and sessions rolled up: a season's mean is the sum over its sessions by their count.
+    Events are grouped by season and by session at once; a season's means are those of its events, in their order, and
+    only what belongs to sessions is rolled up.
     """
-    means = ["qty", "price", "disc"]
-    parts = [*(F.sum(c).alias(f"sum_{c}") for c in means), *(F.count(c).alias(f"n_{c}") for c in means)]
-    by_session = ev.groupBy("entity", "season", "session").agg(
-        F.count("*").alias("n"), *count_flags(FLAGS), F.sum("outs").alias("outs"), *parts, F.sum(F.col("price") * F.col("disc")).alias("value"), F.sum("qty").alias("value_by")
+    by_season, by_session = ["entity", "season"], ["entity", "season", "session"]
+    means = [F.avg(c).alias(f"avg_{c}") for c in ("qty", "price", "disc")]
+    value = safe_ratio(F.sum(F.col("price") * F.col("disc")), F.sum("qty")).alias("value_rate")
+    both = ev.groupingSets([by_season, by_session], *by_session).agg(
+        F.grouping("session").alias("of_season"), F.count("*").alias("n_events"), *count_flags(FLAGS), F.sum("outs").alias("outs"), *means, value
     )
-    scored = by_session.withColumn("ip", F.col("outs") / F.lit(3.0)).withColumn("score", weighted_score(WEIGHTS))
-    season = scored.groupBy("entity", "season").agg(
-        F.sum("n").alias("n_events"),
-        *(F.sum(c).alias(c) for c in FLAGS),
-        *(safe_ratio(F.sum(f"sum_{c}"), F.sum(f"n_{c}")).alias(f"avg_{c}") for c in means),
-        safe_ratio(F.sum("value"), F.sum("value_by")).alias("value_rate"),
-        F.count("*").alias("n_sessions"),
-        F.avg("ip").alias("ip_per_session"),
-        F.avg("k").alias("k_per_session"),
-        F.avg("score").alias("target"),
+    scored = both.withColumn("ip", F.col("outs") / F.lit(3.0)).withColumn("score", weighted_score(WEIGHTS))
+    whole, part = F.col("of_season") == 1, F.col("of_season") == 0
+    head = ["n_events", *FLAGS, "avg_qty", "avg_price", "avg_disc", "value_rate"]
+    season = scored.groupBy(*by_season).agg(
+        *(F.max(F.when(whole, F.col(c))).alias(c) for c in head),
+        F.count_if(part).alias("n_sessions"),
+        F.avg(F.when(part, F.col("ip"))).alias("ip_per_session"),
+        F.avg(F.when(part, F.col("k"))).alias("k_per_session"),
+        F.avg(F.when(part, F.col("score"))).alias("target"),
     )
-    head = ["entity", "season", "n_events", *FLAGS, *(f"avg_{c}" for c in means), "value_rate"]
-    return with_rates(season, RATES).select(*head, *RATES, "n_sessions", "ip_per_session", "k_per_session", "target")
+    return with_rates(season, RATES).select(*by_season, *head, *RATES, "n_sessions", "ip_per_session", "k_per_session", "target")
 
 
 def qualified_panel(panel: DataFrame) -> DataFrame:
