@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blending as B
 from ..operators import comparing as K
+from ..operators import held_out as H
 from ..operators import linear as L
 from ..operators import panel as P
 from ..operators import trees as T
@@ -52,17 +53,105 @@ def a18_m1_m2_ridge(spark, sf_dir):
 SELECT season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(target - pred), 4) AS bias, round(avg(CASE WHEN k_pct > 0.5 THEN target - pred END), 4) AS cohort_bias,
 (SELECT round(corr(pred, target), 4) FROM e) AS pooled_r FROM e GROUP BY season""")
 def m3_out_of_season(spark, sf_dir):
-    """Every season held out in turn, with the correlation of all predictions together."""
-    out = L.out_of_season(panel(spark, sf_dir), ["k_pct"], "target", alpha=1.0)
-    return rounded(L.with_pooled(out, "season", L.metrics("target", "pred", F.col("k_pct") > 0.5), "target", "pred").drop("mae"), 4)
+    """Every season held out in turn, with the correlation of all predictions together; one scan."""
+    *rows, last = H.evaluate(_cells(spark, sf_dir, ["k_pct"]), ["k_pct"], alpha=1.0, least_test=1)
+    out = [(r["season"], r["n"], r["r"], r["rmse"], r["bias"], r["bias_hi"], last["r"]) for r in rows]
+    return rounded(spark.createDataFrame(out, "season int, n long, r double, rmse double, bias double, cohort_bias double, pooled_r double"), 4)
 
 
 @query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season < h.held", 1, "held")} HAVING any_value(n) >= 50), e AS (SELECT b.season AS to_season, b.target, i + c * a.k_pct AS pred FROM panel a JOIN panel b ON a.entity = b.entity AND b.season = a.season + 1 JOIN f ON g = b.season)
 SELECT to_season, count(*) AS n, round(corr(pred, target), 4) AS r, round(sqrt(avg((pred - target) * (pred - target))), 4) AS rmse, round(avg(target - pred), 4) AS bias, (SELECT round(corr(pred, target), 4) FROM e) AS pooled_r FROM e GROUP BY to_season""")
 def m4_cross_season(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    out = L.cross_season(P.lag_join(p, "entity", "season", ["k_pct"], "target"), p, ["k_pct"], "target", alpha=1.0)
-    return rounded(L.with_pooled(out, "to_season", L.metrics("next_target", "pred"), "next_target", "pred").drop("mae"), 4)
+    """A season's target from the season before, by models of all seasons before it; one scan."""
+    *rows, last = H.evaluate(_cells(spark, sf_dir, ["k_pct"]), ["k_pct"], "cross_season", alpha=1.0, least_test=1)
+    out = [(r["season"], r["n"], r["r"], r["rmse"], r["bias"], last["r"]) for r in rows]
+    return rounded(spark.createDataFrame(out, "to_season int, n long, r double, rmse double, bias double, pooled_r double"), 4)
+
+
+def _held_out_sql(tag: str, x1: str, x2: str, ahead: bool) -> str:
+    """CTEs that end in ``e{tag}``: predictions by ridge on two features, the penalty chosen a held-out season by five folds, as SQL.
+
+    A second feature of 0 has no weight; rows lacking a feature are left out.
+    """
+    on = "b.season < h.held" if ahead else "b.season <> h.held"
+    test = f"SELECT b.season AS held, a.x1, a.x2, b.y, b.k FROM base{tag} a JOIN base{tag} b ON a.entity = b.entity AND b.season = a.season + 1" if ahead else f"SELECT season AS held, x1, x2, y, k FROM base{tag}"
+    solved = """(coalesce(q11 / (d1 * d1), 0) + a) * (coalesce(q22 / nullif(d2 * d2, 0), 0) + a) - coalesce(q12 / nullif(d1 * d2, 0), 0) * coalesce(q12 / nullif(d1 * d2, 0), 0) AS det,
+      q1y / d1 AS g1, coalesce(q2y / nullif(d2, 0), 0) AS g2, q11 / (d1 * d1) + a AS h11, coalesce(q22 / nullif(d2 * d2, 0), 0) + a AS h22, coalesce(q12 / nullif(d1 * d2, 0), 0) AS h12"""
+    weights = "(g1 * h22 - g2 * h12) / det / d1 AS c1, coalesce((g2 * h11 - g1 * h12) / det / nullif(d2, 0), 0) AS c2, abs((g1 * h22 - g2 * h12) / det) AS w1, abs((g2 * h11 - g1 * h12) / det) AS w2"
+    sums = "avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) * count(*) AS q11, covar_pop(x1, x2) * count(*) AS q12, covar_pop(x2, x2) * count(*) AS q22, covar_pop(x1, y) * count(*) AS q1y, covar_pop(x2, y) * count(*) AS q2y"
+    return f"""base{tag} AS (SELECT entity, season, (entity * 31 + season) % 5 AS fold, {x1} AS x1, CAST({x2} AS DOUBLE) AS x2, target AS y, k_pct AS k FROM panel),
+full{tag} AS (SELECT * FROM base{tag} WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
+tr{tag} AS (SELECT h.held, b.* FROM full{tag} b JOIN (SELECT DISTINCT season AS held FROM base{tag}{" UNION ALL SELECT 9999" if ahead else ""}) h ON {on}),
+sc{tag} AS (SELECT held, count(*) AS n, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, {sums} FROM tr{tag} GROUP BY held HAVING count(*) >= 50),
+al{tag} AS (SELECT i, pow(10, -1 + 6.0 * i / 79) AS a FROM range(80) t(i)),
+fo{tag} AS (SELECT held, k.fold, {sums} FROM tr{tag} t JOIN (SELECT unnest(range(5)) AS fold) k ON t.fold <> k.fold GROUP BY held, k.fold),
+co{tag} AS (SELECT held, fold, i, a, m1, m2, my, {weights} FROM (SELECT f.*, i, a, d1, d2, {solved} FROM fo{tag} f JOIN (SELECT held, d1, d2 FROM sc{tag}) USING (held), al{tag})),
+r2{tag} AS (SELECT c.held, c.fold, i, a, 1 - sum((y - my - c1 * (x1 - m1) - c2 * (x2 - m2)) * (y - my - c1 * (x1 - m1) - c2 * (x2 - m2))) / (var_pop(y) * count(*)) AS r2 FROM co{tag} c JOIN tr{tag} t ON t.held = c.held AND t.fold = c.fold GROUP BY c.held, c.fold, i, a),
+be{tag} AS (SELECT held, a FROM r2{tag} GROUP BY held, i, a QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(avg(r2), 12) DESC, i) = 1),
+fi{tag} AS (SELECT held, n, a, m1, m2, my, {weights} FROM (SELECT sc{tag}.*, a, {solved} FROM sc{tag} JOIN be{tag} USING (held))),
+te{tag} AS (SELECT * FROM ({test}) WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
+ok{tag} AS (SELECT held FROM te{tag} GROUP BY held HAVING count(*) >= 10),
+e{tag} AS (SELECT held AS season, a AS alpha, k, y, my + c1 * (x1 - m1) + c2 * (x2 - m2) AS pred FROM te{tag} JOIN ok{tag} USING (held) JOIN fi{tag} USING (held))"""
+
+
+_TOLD = "count(*) AS n, round(corr(pred, y), 4) AS r, round(sqrt(avg((pred - y) * (pred - y))), 4) AS rmse, round(avg(y - pred), 4) AS bias, round(avg(CASE WHEN k > 0.5 THEN y - pred END), 4) AS bias_hi, round(avg(CASE WHEN k < 0.45 THEN y - pred END), 4) AS bias_lo"
+
+
+@query(f"""{ALL}, {_held_out_sql("a", "k_pct", "swing_pct", False)}, {_held_out_sql("b", "k_pct", "swing_pct", True)}
+SELECT 'out_of_season' AS mode, season, round(any_value(alpha), 4) AS alpha, {_TOLD} FROM ea GROUP BY season UNION ALL SELECT 'out_of_season', NULL, NULL, {_TOLD} FROM ea UNION ALL
+SELECT 'cross_season', season, round(any_value(alpha), 4), {_TOLD} FROM eb GROUP BY season UNION ALL SELECT 'cross_season', NULL, NULL, {_TOLD} FROM eb""")
+def m3_m4_chosen_penalty(spark, sf_dir):
+    """Both evaluations with two features, the penalty chosen anew for every held-out season, and pooled rows without a season."""
+    data = _cells(spark, sf_dir, ["k_pct", "swing_pct"])
+    rows = [{"mode": m, **r} for m in ("out_of_season", "cross_season") for r in H.evaluate(data, data.features, m)]
+    return rounded(spark.createDataFrame(rows, "mode string, season int, alpha double, n long, r double, rmse double, bias double, bias_hi double, bias_lo double"), 4)
+
+
+@query()
+def m3_m4_feature_sets(spark, sf_dir):
+    """Both evaluations of every named feature set, all from one aggregate over the panel."""
+    names = list(dict.fromkeys(f for _, fs in COMBINATIONS.values() for f in fs))
+    data = _cells(spark, sf_dir, names)
+    rows = [{"mode": m, "name": name, "features": ",".join(fs), **H.evaluate(data, fs, m)[-1]} for name, (_, fs) in COMBINATIONS.items() for m in ("out_of_season", "cross_season")]
+    return rounded(spark.createDataFrame(rows, "mode string, name string, features string, n long, r double, rmse double, bias double, bias_hi double, bias_lo double"), 4)
+
+
+_GAPPY = "CASE WHEN contact_pct > 0.52 THEN NULL ELSE hit_pct END"
+
+
+@query(f"""{ALL}, {_held_out_sql("a", "k_pct", _GAPPY, True)}, {_held_out_sql("b", "k_pct", "0", True)}, {_held_out_sql("c", _GAPPY, "0", True)},
+s AS (SELECT 0 AS step, 'k_pct,hit_some' AS features, {_TOLD} FROM ea UNION ALL SELECT 1, 'k_pct', {_TOLD} FROM eb UNION ALL SELECT 1, 'hit_some', {_TOLD} FROM ec),
+first AS (SELECT CASE WHEN w1 < w2 THEN 'k_pct' ELSE 'hit_some' END AS dropped, CAST(n AS BIGINT) AS n_rows FROM fia WHERE held = 9999),
+steps AS (SELECT s.*, first.dropped, first.n_rows FROM s, first WHERE step = 0 UNION ALL
+  SELECT s.*, s.features, CASE WHEN s.features = 'k_pct' THEN (SELECT n FROM fib WHERE held = 9999) ELSE (SELECT n FROM fic WHERE held = 9999) END FROM s, first WHERE step = 1 AND s.features <> first.dropped)
+SELECT step, features, CAST(n_rows AS BIGINT) AS n_rows, dropped, n, r, rmse, bias, bias_hi, bias_lo, round(3 * r - 0.5 * abs(bias_hi), 2) AS score, coalesce(step = (SELECT min(step) FROM steps WHERE 3 * r - 0.5 * abs(bias_hi) = (SELECT max(3 * r - 0.5 * abs(bias_hi)) FROM steps)), false) AS best FROM steps""")
+def m9_two_features(spark, sf_dir):
+    """Elimination from two features, one of which many rows lack, down to one, scored across seasons."""
+    some = F.when(F.col("contact_pct") > 0.52, None).otherwise(F.col("hit_pct"))
+    data = _cells(spark, sf_dir, ["k_pct", "hit_some"], {"hit_some": some})
+    rows = H.eliminate(data, data.features, _cross_score, least_features=0)
+    return rounded(spark.createDataFrame(rows, _ELIMINATION), 4).withColumn("score", F.round("score", 2))
+
+
+_ELIMINATION = "step int, features string, n_rows long, dropped string, n long, r double, rmse double, bias double, bias_hi double, bias_lo double, score double, best boolean"
+
+
+def _cross_score(row: dict) -> float | None:
+    """Three times the correlation less half the bias of the high cohort; none where there is no correlation."""
+    return None if row["r"] is None else 3 * row["r"] - 0.5 * abs(row["bias_hi"] or 0.0)
+
+
+def _cells(spark, sf_dir, features, extra=None):
+    p = panel(spark, sf_dir).withColumns(extra or {})
+    return H.cells(p, features, "target", cohorts={"hi": F.col("k_pct") > 0.5, "lo": F.col("k_pct") < 0.45}, fold=L.key_fold(5, "entity", "season"))
+
+
+@query()
+def m9_backward_elimination(spark, sf_dir):
+    """From eight features, two of which some rows lack, until four are left: each set scored across seasons from one aggregate."""
+    extra = {"hit_some": F.when(F.col("contact_pct") > 0.6, None).otherwise(F.col("hit_pct")), "log_price": F.ln("avg_price"), "k_sq": F.col("k_pct") ** 2}
+    data = _cells(spark, sf_dir, [*FEATURES, *extra], extra)
+    return rounded(spark.createDataFrame(H.eliminate(data, data.features, _cross_score), _ELIMINATION), 6)
 
 
 @query(f"""{ALL}, h AS (SELECT DISTINCT season AS held FROM panel), f AS ({_coef("SELECT p.*, held FROM panel p JOIN h ON p.season <> h.held", 1, "held")}), e AS (SELECT entity, season, target - i - c * k_pct AS residual FROM panel JOIN f ON season = g)
