@@ -122,6 +122,10 @@ def rescale_percents(df: DataFrame, suffix: str = "_pct") -> DataFrame:
 
 def impute_median(df: DataFrame, names: Sequence[str], pool: DataFrame | None = None) -> DataFrame:
     """Missing values of ``names`` become the exact median over ``pool``."""
-    medians = (df if pool is None else pool).agg(*[F.median(c).alias(f"_{c}") for c in names])
-    out = df.crossJoin(F.broadcast(medians))
+    from ..operators.ranks import exact_quantiles
+
+    long = (df if pool is None else pool).select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], list(names), "_name", "_value")
+    medians = exact_quantiles(long, "_value", [0.5], by=["_name"])
+    one = medians.agg(*[F.max(F.when(F.col("_name") == c, F.col("quantiles")[0])).alias(f"_{c}") for c in names])
+    out = df.crossJoin(F.broadcast(one))
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in names}).select(df.columns)

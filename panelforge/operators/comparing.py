@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SCORES
+from ..sources.tables import cut
 from .linear import metrics
+from .ranks import exact_quantiles
 from .windows import quantile_bins
 
 
@@ -36,11 +38,11 @@ def bias_by_bin(df: DataFrame, by: str, target: str, models: Sequence[str], bins
 
 def spot_check(df: DataFrame, target: str, old: str, new: str, by: str) -> DataFrame:
     """How two models differ: one row of delta statistics and of errors of both."""
-    delta = F.col(new) - F.col(old)
-    return df.agg(
+    rows = cut(df.select(target, old, new, by).withColumn("_delta", F.col(new) - F.col(old)))
+    delta = F.col("_delta")
+    out = rows.agg(
         F.count(delta).alias("n"),
         F.avg(delta).alias("mean_delta"),
-        F.median(delta).alias("median_delta"),
         F.stddev_samp(delta).alias("std_delta"),
         F.corr(delta, F.col(by)).alias("delta_by_corr"),
         F.avg(F.abs(F.col(old) - F.col(target))).alias("mae_old"),
@@ -49,6 +51,8 @@ def spot_check(df: DataFrame, target: str, old: str, new: str, by: str) -> DataF
         F.corr(new, target).alias("r_new"),
         F.count_if(F.abs(delta) > 0.5).alias("movers"),
     )
+    median = exact_quantiles(rows, "_delta", [0.5]).select(F.col("quantiles")[0].alias("median_delta"))
+    return out.crossJoin(F.broadcast(median))
 
 
 def movers(df: DataFrame, by: str, key: str, old: str, new: str, top: int, least: float) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flag, safe_ratio
+from ..sources.tables import cut
+from .ranks import exact_quantiles
 
 
 def count_flags(names: Sequence[str]) -> list[Column]:
@@ -96,9 +98,14 @@ def coverage(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(names), "feature", "n_present")
 
 
-def describe(df: DataFrame, name: str) -> list[Column]:
-    """Mean, median, extremes and sample deviation of a column, as aggregates."""
-    return [F.avg(name).alias("mean"), F.median(name).alias("median"), F.min(name).alias("least"), F.max(name).alias("most"), F.stddev_samp(name).alias("std")]
+def describe(df: DataFrame, name: str, by: Sequence[str] = (), extra: Sequence[Column] = ()) -> DataFrame:
+    """Mean, exact median, extremes and sample deviation of a column by group, beside ``extra`` aggregates."""
+    rows = cut(df)
+    aggs = [*extra, F.avg(name).alias("mean"), F.min(name).alias("least"), F.max(name).alias("most"), F.stddev_samp(name).alias("std")]
+    medians = exact_quantiles(rows, name, [0.5], by).withColumn("median", F.col("quantiles")[0]).drop("quantiles")
+    if not by:
+        return rows.agg(*aggs).crossJoin(F.broadcast(medians))
+    return rows.groupBy(*by).agg(*aggs).join(medians, list(by))
 
 
 def named(df: DataFrame, names: DataFrame, key: str, name_key: str, name: str, out: str = "name") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles
+
 
 def lags(df: DataFrame, entity: str, order: Sequence[str], names: Sequence[str], steps: Sequence[int] = (1, 2)) -> DataFrame:
     """Values of earlier rows of the entity; a skipped season doesn't count as a row."""
@@ -49,11 +51,10 @@ def quantile_bins(df: DataFrame, name: str, bins: int, out: str = "bin") -> Data
 
     The edges are one row, joined back.
     """
-    edges = df.agg(F.percentile(name, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_edges"), F.min(name).alias("_least"), F.max(name).alias("_most"))
-    inner = F.filter(F.array_distinct("_edges"), lambda e: (e > F.col("_least")) & (e < F.col("_most")))
-    edges = edges.select(F.coalesce(inner, F.array().cast("array<double>")).alias("_edges"))
+    edges = exact_quantiles(df, name, [i / bins for i in range(bins + 1)], out="_edges").select(F.coalesce("_edges", F.array().cast("array<double>")).alias("_edges"))
+    inner = F.filter(F.array_distinct("_edges"), lambda e: (e > F.array_min("_edges")) & (e < F.array_max("_edges")))
     below = F.size(F.filter("_edges", lambda e: e < F.col(name)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(name).isNotNull(), below)).drop("_edges")
+    return df.crossJoin(F.broadcast(edges.select(inner.alias("_edges")))).withColumn(out, F.when(F.col(name).isNotNull(), below)).drop("_edges")
 
 
 def z_scores(df: DataFrame, signs: dict[str, int]) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import linear as L
 from ..plans import season as S
 from ..session import table
 from ..sources import tables as R
+from ..sources.tables import own_folder
 from ..streaming import refresh as X
 from .base import ALL, panel, rounded
 
@@ -28,17 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def own_folder(spark) -> str:
-    """A new folder among those that the driver and all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 @query(f"""{ALL} SELECT entity, season, n_events, round(k_pct, 6) AS k_pct FROM panel WHERE season IN (1999, 2000, 2001)""")
 def s1_s7_s9_cached_panel(spark, sf_dir):
     """The panel of two seasons is cached, then three are asked for, and only the third is built."""

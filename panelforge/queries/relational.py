@@ -165,8 +165,8 @@ def a9_a10_a16_p16_metrics(spark, sf_dir):
 
 @query(f"""{ALL} SELECT season, count(DISTINCT entity) AS n_entities, count(avg_disc) AS n_disc, round(avg(target), 6) AS mean, round(median(target), 6) AS median, round(min(target), 6) AS least, round(max(target), 6) AS most, round(stddev_samp(target), 6) AS std FROM panel GROUP BY ALL""")
 def a11_a12_describe(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    return rounded(p.groupBy("season").agg(F.count_distinct("entity").alias("n_entities"), F.count("avg_disc").alias("n_disc"), *P.describe(p, "target")))
+    p = panel(spark, sf_dir).select("entity", "season", "avg_disc", "target")
+    return rounded(P.describe(p, "target", ["season"], [F.count_distinct("entity").alias("n_entities"), F.count("avg_disc").alias("n_disc")]))
 
 
 @query(f"""{ALL} SELECT 'avg_disc' AS feature, count(avg_disc) AS n_present FROM panel UNION ALL SELECT 'k_pct', count(k_pct) FROM panel UNION ALL SELECT 'big', count(CASE WHEN k_pct > 0.5 THEN 1 END) FROM panel""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ranks as R
 from ..operators import windows as W
 from ..operators.comparing import bias_by_bin
 from ..plans import season as S
@@ -46,9 +47,13 @@ SELECT entity, season, CAST(CASE WHEN kk IS NOT NULL THEN rank() OVER (PARTITION
 round(CASE WHEN kk IS NOT NULL THEN (rank() OVER (PARTITION BY season ORDER BY kk ASC NULLS LAST) + (count(kk) OVER (PARTITION BY season, kk) - 1) / 2) / count(kk) OVER (PARTITION BY season) END, 6) AS share,
 CAST(row_number() OVER (PARTITION BY season ORDER BY t DESC, entity) AS INT) AS position FROM g""")
 def w7_w8_w9_w10_ranks(spark, sf_dir):
+    """Ranks within seasons by buckets of values, so that no task holds a season."""
     g = panel(spark, sf_dir).select("entity", "season", F.round("target", 6).alias("t"), F.when(F.col("k_pct") > 0.45, F.floor(F.col("k_pct") * 40)).alias("kk"))
-    row = F.row_number().over(Window.partitionBy("season").orderBy(F.desc("t"), "entity"))
-    return rounded(g.select("entity", "season", W.competition_rank("kk", "season").alias("place"), W.percent_rank_mean_ties("kk", "season").alias("share"), row.alias("position")))
+    by_t = R.with_ranks(g, ["season"], "t", "entity", descending=True).select("entity", "season", "kk", F.col("_position").cast("int").alias("position"))
+    ranked = R.with_ranks(by_t, ["season"], "kk", "entity")
+    # From the largest: what is neither smaller nor equal stands before.
+    place = F.col("_n") - F.col("_rank") - F.col("_ties") + 2
+    return rounded(ranked.select("entity", "season", place.cast("int").alias("place"), ((F.col("_rank") + (F.col("_ties") - 1) / 2) / F.col("_n")).alias("share"), "position"))
 
 
 @query(f"""{ALL} SELECT entity, season, session, round(score, 6) AS score FROM se QUALIFY row_number() OVER (PARTITION BY entity ORDER BY season DESC, session DESC) = 1""")
@@ -75,5 +80,6 @@ def w13_c19_m21_trend(spark, sf_dir):
 
 @query(f"""{ALL}, c AS (SELECT entity, season, percent_rank() OVER (PARTITION BY season ORDER BY round(k_pct, 6), entity) AS share FROM panel) SELECT entity, round(avg(share), 6) AS mean_share FROM c GROUP BY ALL""")
 def d6_percentile_profile(spark, sf_dir):
-    share = F.percent_rank().over(Window.partitionBy("season").orderBy(F.round("k_pct", 6), "entity"))
-    return rounded(panel(spark, sf_dir).withColumn("share", share).groupBy("entity").agg(F.avg("share").alias("mean_share")))
+    p = panel(spark, sf_dir).select("entity", "season", F.round("k_pct", 6).alias("k"))
+    share = F.when(F.col("_n") > 1, (F.col("_position") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    return rounded(R.with_ranks(p, ["season"], "k", "entity").withColumn("share", share).groupBy("entity").agg(F.avg("share").alias("mean_share")))

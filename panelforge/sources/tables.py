@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,24 @@ LOG_SCHEMA = (
 )
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder among those that the driver and all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="panelforge-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again: computed once, with a known size, and safe against lost executors."""
+    path, schema = own_folder(df.sparkSession), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path holds anything, on whatever store Spark reads it from."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

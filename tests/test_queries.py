@@ -24,6 +24,13 @@ def test_query(spark, small, con, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["a1_a3_a5_j1_season_panel", "c7_c14_shrink", "m3_m4_chosen_penalty", "m9_two_features", "w7_w8_w9_w10_ranks"])
+def test_query_on_more_rows(spark, name):
+    """What only shows with more rows: averages on a rounding border, penalties chosen from enough rows, several buckets."""
+    sf_dir = "/root/testdata/sf0.01"
+    assert difference(Q.queries()[name](spark, sf_dir), SQL[name], connect(sf_dir)) == ""
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
