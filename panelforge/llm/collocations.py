@@ -7,8 +7,9 @@ All phrases with a count of at least ``least`` are wanted, exactly counted.
    its last word are proposed; those that reach a lowered count are proposed.
 2. A full pass counts proposed phrases by their words, and the phrases of the negative border, which are not proposed though both
    parts are, in slots of a 64-bit hash. A slot under ``least`` proves that none of its phrases is frequent.
-3. Slots that reach ``least`` are failures of the border. They are proposed too, and a further full pass counts them by their words, and the border
-   that they open in slots; so on until no slot reaches ``least``. Then every frequent phrase has been counted by its words, whatever the sample held.
+3. Slots that reach ``least`` are failures of the border. A frequent phrase that is neither proposed nor of the border holds a smallest
+   phrase that isn't proposed; that one is of the border and as frequent, so it failed. An expansion pass therefore counts by their words all phrases
+   that hold a failure, of any length, and with that the result is closed, whatever the sample held.
 
 Proposals are known to the tasks by a Bloom filter of at most ``FILTER_BITS`` bits, built by segments in Spark, so what is
 broadcast has a bound at every size. A phrase that passes by chance is counted too and falls under ``least`` at the end.
@@ -34,7 +35,7 @@ SAMPLE_OF = 4
 #: Bits of the filter of proposals, and of the segments in which it is built.
 FILTER_BITS, SEGMENT_BITS = 1 << 30, 1 << 18
 #: Words that a task holds before it counts them, and phrases and known words that it holds.
-HELD_WORDS, HELD_PHRASES, KNOWN_WORDS = 1_500_000, 400_000, 500_000
+HELD_WORDS, HELD_PHRASES, KNOWN_WORDS = 800_000, 200_000, 300_000
 
 _END = b"."
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -131,11 +132,11 @@ def _first_places(a: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 class Counter:
-    """Counts of one task: proposed phrases by their words, the border in hash slots."""
+    """Counts of one task: phrases by their words, the border in hash slots."""
 
-    def __init__(self, shards: int, now: np.ndarray | None, before: np.ndarray | None, level: int | None):
-        #: With a level, all phrases of so many words are border (a sample's pass); else phrases of all lengths.
-        self.shards, self.now, self.before, self.level = shards, now, before, level
+    def __init__(self, shards: int, proposed: np.ndarray | None, failed: np.ndarray | None, level: int | None):
+        #: With a level, phrases of so many words go to slots (a sample's pass); with a filter of failures, what holds one is counted by words.
+        self.shards, self.proposed, self.failed, self.level = shards, proposed, failed, level
         self.known, self.hashes, self.size = _Known(), np.zeros(0, dtype=np.uint64), 0
         self.held: dict[str, list[np.ndarray]] = defaultdict(list)
         self.phrases: dict[tuple[str, int], dict[bytes, list[int]]] = defaultdict(dict)
@@ -148,20 +149,17 @@ class Counter:
         if self.size >= HELD_WORDS:
             yield from self.count()
 
-    def _passes(self, h: np.ndarray, ok: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-        out = np.zeros(len(h), dtype=bool)
-        if bits is not None:
-            at = np.flatnonzero(ok)
-            out[at] = passes(h[at], bits)
-        return out
-
     def count(self) -> Iterator[tuple]:
         new = self.known.words[len(self.hashes) :]
         more = np.fromiter(map(xxhash.xxh3_64_intdigest, new), dtype=np.uint64, count=len(new))
         self.hashes = np.concatenate([self.hashes, more])
         slots: list[np.ndarray] = []
         for lang, arrays in self.held.items():
-            self._count(lang, np.concatenate(arrays), slots)
+            a = np.concatenate(arrays)
+            if self.failed is None:
+                self._count(lang, a, slots)
+            else:
+                self._expand(lang, a)
         self.held.clear()
         self.size = 0
         h, c = np.unique(np.concatenate([*slots, np.zeros(0, dtype=np.uint64)]), return_counts=True)
@@ -172,30 +170,51 @@ class Counter:
         if len(self.known) >= KNOWN_WORDS:
             self.known, self.hashes = _Known(), np.zeros(0, dtype=np.uint64)
 
-    def _count(self, lang: str, a: np.ndarray, slots: list[np.ndarray]) -> None:
-        seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    def _levels(self, lang: str, a: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length the hash at each place, and whether the phrase lies in one piece."""
         ok = a > 0
-        h = _mixed(self.hashes[a] + seed)
-        eligible, eligible_before = ok, ok
-        for n in range(1, (self.level or LONGEST) + 1):
-            if n > 1:
-                h = _mixed(h[:-1] * _B + self.hashes[a[n - 1 :]])
-                ok = ok[:-1] & (a[n - 1 :] > 0)
-                eligible = inside[:-1] & inside[1:]
-                eligible_before = inside_before[:-1] & inside_before[1:]
+        h = _mixed(self.hashes[a] + np.uint64(xxhash.xxh3_64_intdigest(lang.encode())))
+        yield 1, h, ok
+        for n in range(2, (self.level or LONGEST) + 1):
+            h = _mixed(h[:-1] * _B + self.hashes[a[n - 1 :]])
+            ok = ok[:-1] & (a[n - 1 :] > 0)
+            yield n, h, ok
+
+    def _count(self, lang: str, a: np.ndarray, slots: list[np.ndarray]) -> None:
+        """A sample's level, or the proposals by words and the border in slots."""
+        inside = None
+        for n, h, ok in self._levels(lang, a):
+            eligible = ok if inside is None else inside[:-1] & inside[1:]
             if self.level == n:
                 slots.append(h[eligible])
                 return
-            # A phrase was counted before if both of its parts, or for a word it itself, had their place in the filter then.
-            seen = eligible_before if self.before is not None else np.zeros(len(h), dtype=bool)
-            inside = self._passes(h, eligible, self.now)
-            inside_before = self._passes(h, eligible_before, self.before)
+            at = np.flatnonzero(eligible)
+            at = at[passes(h[at], self.proposed)]
+            inside = np.zeros(len(h), dtype=bool)
+            inside[at] = True
             if self.level is None:
-                slots.append(h[eligible & ~inside & ~seen])
-                self._named(lang, a, n, h, np.flatnonzero(inside & ~inside_before))
-        if self.before is None:
-            own = self.phrases[lang, 0]
-            own[b""] = [int(seed) % self.shards, own.get(b"", [0, 0])[1] + int((a > 0).sum())]
+                slots.append(h[eligible & ~inside])
+                self._named(lang, a, n, h, at)
+        own = self.phrases[lang, 0]
+        own[b""] = [len(lang) % self.shards, own.get(b"", [0, 0])[1] + int((a > 0).sum())]
+
+    def _expand(self, lang: str, a: np.ndarray) -> None:
+        """Phrases that hold a failure, but for those that the first pass counted by words."""
+        hashes: list[np.ndarray] = []
+
+        def counted(at: np.ndarray, n: int) -> np.ndarray:
+            out = passes(hashes[n - 1][at], self.proposed)
+            if n > 1 and len(at):
+                out &= counted(at, n - 1) & counted(at + 1, n - 1)
+            return out
+
+        holds = None
+        for n, h, ok in self._levels(lang, a):
+            hashes.append(h)
+            own = passes(h, self.failed) & ok
+            holds = own if holds is None else (own | holds[:-1] | holds[1:]) & ok
+            at = np.flatnonzero(holds)
+            self._named(lang, a, n, h, at[~counted(at, n)])
 
     def _named(self, lang: str, a: np.ndarray, n: int, h: np.ndarray, at: np.ndarray) -> None:
         if not len(at):
@@ -248,14 +267,14 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[edge], np.add.reduceat(c, edge)
 
 
-def counted(docs: DataFrame, least: int, now: np.ndarray | None, before: np.ndarray | None, level: int | None = None) -> DataFrame:
-    """One pass over ``docs(lang, text)``, written: slots of the border with at least ``least`` (h), and proposed phrases with as many.
+def counted(docs: DataFrame, least: int, proposed: np.ndarray | None, failed: np.ndarray | None = None, level: int | None = None) -> DataFrame:
+    """One pass over ``docs(lang, text)``, written: slots with at least ``least`` (h), and phrases by their words with as many.
 
-    With a ``level``, phrases of that length are all border, eligible by the filter. The row with n = 0 has all words of a lang.
+    With a ``level``, phrases of that length alone, in slots; with ``failed``, those that hold a failure. The row with n = 0 has all words of a lang.
     """
     spark = docs.sparkSession
-    shards = 4 * partitions(spark)
-    sent = spark.sparkContext.broadcast((now, before))
+    shards = partitions(spark)
+    sent = spark.sparkContext.broadcast((proposed, failed))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = Counter(shards, *sent.value, level)
@@ -291,14 +310,14 @@ def counted(docs: DataFrame, least: int, now: np.ndarray | None, before: np.ndar
                     hs.append(np.frombuffer(keys, dtype=np.uint64))
                     cs.append(np.frombuffer(counts, dtype="<u4").astype(np.int64))
                     pending += len(hs[-1])
-                    if pending > 4_000_000:  # sums take the place of what they sum
+                    if pending > 2_000_000:  # sums take the place of what they sum
                         h, c = _summed(np.concatenate(hs), np.concatenate(cs))
                         hs, cs, pending = [h], [c], 0
         if at is not None:
             yield done()
 
     rows = docs.select("lang", "text").mapInArrow(scan, "shard int, lang string, n int, keys binary, counts binary")
-    dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard")
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     return written(dealt.mapInArrow(merge, "h long, lang string, n int, phrase binary, count long"))
 
 
@@ -318,20 +337,16 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample_of: int = SAMPLE_O
     plain = plain.select("lang", "text")
     # Half of the sample's share of ``least``: what reaches ``least`` in all is seldom under it.
     lowered = max(2, least // sample_of // 2)
-    proposed: list[DataFrame] = []
-    bits = None
+    proposals: list[DataFrame] = []
+    proposed = None
     for level in range(1, LONGEST + 1):
-        proposed.append(counted(sample, lowered, bits, None, level))
-        bits = _grown(proposed, None)
-    parts: list[DataFrame] = []
-    before, now = None, bits
-    while True:
-        parts.append(counted(plain, least, now, before))
-        failed = parts[-1].where("h is not null")
-        if not failed.limit(1).count():
-            break
-        before, now = now, _grown([failed], now)
-    forget(sample, *proposed)
+        proposals.append(counted(sample, lowered, proposed, level=level))
+        proposed = _filter(proposals)
+    parts = [counted(plain, least, proposed)]
+    failures = parts[0].where("h is not null")
+    if failures.limit(1).count():
+        parts.append(counted(plain, least, proposed, _filter([failures])))
+    forget(sample, *proposals)
     named = parts[0].where("n >= 0")
     for p in parts[1:]:
         named = named.unionByName(p.where("n >= 0"))
@@ -340,15 +355,13 @@ def frequent_phrases(docs: DataFrame, least: int = 30, sample_of: int = SAMPLE_O
     return out
 
 
-def _grown(parts: list[DataFrame], bits: np.ndarray | None) -> np.ndarray:
-    """A filter over the slots of ``parts``; a given one gets them beside its own."""
+def _filter(parts: list[DataFrame]) -> np.ndarray:
+    """A filter over the slots of ``parts``."""
     hashes = parts[0].select("h")
     for p in parts[1:]:
         hashes = hashes.unionByName(p.select("h"))
     hashes = hashes.where("h is not null")
-    segments = _segments_for(hashes.count()) if bits is None else len(bits) * 8 // SEGMENT_BITS
-    more = filter_of(hashes, segments)
-    return more if bits is None else bits | more
+    return filter_of(hashes, _segments_for(hashes.count()))
 
 
 def _ratio_floor(a: str, d: str) -> Column:
