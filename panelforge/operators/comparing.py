@@ -11,7 +11,7 @@ from ..functions.scalars import SCORES
 from ..sources.tables import cut
 from .linear import metrics
 from .ranks import exact_quantiles
-from .windows import quantile_bins
+from .windows import quantile_bins, trend_label
 
 
 def formula_sensitivity(configs: DataFrame, dataset: str = "dataset", r: str = "r", k: str = "k_bias", names: Sequence[str] | None = None) -> DataFrame:
@@ -75,6 +75,52 @@ def predictor_table(df: DataFrame, predictors: Sequence[str], same: str, later:
     return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("r_same"), "metric")))
 
 
+def best_predictors(table: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` metrics of a predictor table that have a correlation, with its sign."""
+    return table.where(F.col("r_same").isNotNull() & (F.col("position") <= n)).select("metric", F.signum("r_same").alias("sign"))
+
+
+def composite_trend(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], best: DataFrame, width: float = 0.75) -> DataFrame:
+    """Mean of the signed z-scores of the metrics that ``best`` names, for rows that have all of them, with its label.
+
+    ``best`` (metric, sign) is a result of the data, so the metrics are chosen inside the plan: rows are long, joined to
+    it, and never pivoted. z-scores are by population deviation over the rows that count, the label by ``width`` sample deviations.
+    """
+    long = rows.unpivot(list(keys), list(metrics), "metric", "value").join(F.broadcast(best), "metric")
+    wanted = best.agg(F.count("*").alias("_wanted"))
+    full = long.groupBy(*keys).agg(F.count("value").alias("_have")).crossJoin(F.broadcast(wanted)).where("_have = _wanted and _wanted > 0").select(*keys)
+    long = cut(long.join(full, list(keys)))
+    stats = long.groupBy("metric").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    z = F.col("sign") * (F.col("value") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    score = long.join(F.broadcast(stats), "metric").groupBy(*keys).agg(F.avg(z).alias("score"))
+    return trend_label(score, "score", width, "trend")
+
+
+def ship_decision(df: DataFrame, target: str, old: str, new: str, name: Column, wanted: Mapping[str, float], slack: float = 0.005) -> DataFrame:
+    """Whether a new model passes: its correlation is no more than ``slack`` under the old one's, and named entities exceed their marks.
+
+    ``wanted`` maps part of a name to the mark that the first entity with it, by name, must exceed; an absent one fails.
+    """
+    named = [F.min_by(F.col(new), F.when(F.coalesce(name.contains(part), F.lit(False)), name)).alias(f"_{i}") for i, part in enumerate(wanted)]
+    seen = df.agg(F.corr(old, target).alias("r_old"), F.corr(new, target).alias("r_new"), *named)
+    ok = F.lit(True)
+    for i, mark in enumerate(wanted.values()):
+        ok = ok & F.coalesce(F.col(f"_{i}") > mark, F.lit(False))
+    out = seen.withColumns({"pass_r": F.coalesce(F.col("r_new") >= F.col("r_old") - slack, F.lit(False)), "pass_named": ok})
+    return out.select("r_old", "r_new", "pass_r", "pass_named", F.when(F.col("pass_r") & F.col("pass_named"), "PASS").otherwise("PARTIAL").alias("decision"))
+
+
+def merge_guards(before: DataFrame, after: DataFrame, most_lost: float = 0.15) -> DataFrame:
+    """Checks after a merge or a derivation: the share of rows lost, and how many values of doubles are infinite or NaN."""
+    doubles = [c for c, t in after.dtypes if t == "double"]
+    odd = F.lit(0).cast("long")
+    for c in doubles:
+        odd = odd + F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf")))
+    n = after.agg(F.count("*").alias("_after"), odd.alias("odd")).crossJoin(F.broadcast(before.agg(F.count("*").alias("_before"))))
+    lost = F.coalesce(1 - F.col("_after") / F.nullif(F.col("_before").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return checks(n.select(lost.alias("lost"), "odd"), {"lost": (-1e12, most_lost), "odd": (0, 0)})
+
+
 def leaderboard(rows: DataFrame, formula: str = "linear_050", r: str = "r", k: str = "cohort_bias", incumbent: float | None = None, margin: float = 0.01) -> DataFrame:
     """Scored rows, best first, with the ship rule against an incumbent's score."""
     out = rows.withColumn("score", SCORES[formula](F.col(r), F.col(k)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_CATEGORIES = ["relational", "windowed", "modeling", "io"]
+_CATEGORIES = ["relational", "windowed", "modeling", "evaluation", "io"]
 
 
 def _modules():

@@ -68,7 +68,7 @@ def m4_cross_season(spark, sf_dir):
     return rounded(spark.createDataFrame(out, "to_season int, n long, r double, rmse double, bias double, pooled_r double"), 4)
 
 
-def _held_out_sql(tag: str, x1: str, x2: str, ahead: bool) -> str:
+def _held_out_sql(tag: str, x1: str, x2: str, ahead: bool, y: str = "target") -> str:
     """CTEs that end in ``e{tag}``: predictions by ridge on two features, the penalty chosen a held-out season by five folds, as SQL.
 
     A second feature of 0 has no weight; rows lacking a feature are left out.
@@ -79,7 +79,7 @@ def _held_out_sql(tag: str, x1: str, x2: str, ahead: bool) -> str:
       q1y / d1 AS g1, coalesce(q2y / nullif(d2, 0), 0) AS g2, q11 / (d1 * d1) + a AS h11, coalesce(q22 / nullif(d2 * d2, 0), 0) + a AS h22, coalesce(q12 / nullif(d1 * d2, 0), 0) AS h12"""
     weights = "(g1 * h22 - g2 * h12) / det / d1 AS c1, coalesce((g2 * h11 - g1 * h12) / det / nullif(d2, 0), 0) AS c2, abs((g1 * h22 - g2 * h12) / det) AS w1, abs((g2 * h11 - g1 * h12) / det) AS w2"
     sums = "avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) * count(*) AS q11, covar_pop(x1, x2) * count(*) AS q12, covar_pop(x2, x2) * count(*) AS q22, covar_pop(x1, y) * count(*) AS q1y, covar_pop(x2, y) * count(*) AS q2y"
-    return f"""base{tag} AS (SELECT entity, season, (entity * 31 + season) % 5 AS fold, {x1} AS x1, CAST({x2} AS DOUBLE) AS x2, target AS y, k_pct AS k FROM panel),
+    return f"""base{tag} AS (SELECT entity, season, (entity * 31 + season) % 5 AS fold, {x1} AS x1, CAST({x2} AS DOUBLE) AS x2, {y} AS y, k_pct AS k FROM panel),
 full{tag} AS (SELECT * FROM base{tag} WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
 tr{tag} AS (SELECT h.held, b.* FROM full{tag} b JOIN (SELECT DISTINCT season AS held FROM base{tag}{" UNION ALL SELECT 9999" if ahead else ""}) h ON {on}),
 sc{tag} AS (SELECT held, count(*) AS n, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, {sums} FROM tr{tag} GROUP BY held HAVING count(*) >= 50),
