@@ -20,7 +20,10 @@ WORDS, REPEAT, GRAM = 51, 200, 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.7 stay, as they are; null and empty texts have the score of no features, repeated rows one score."""
+    """Documents that score under 0.7 stay, as they are; null and empty texts have the score of no features.
+
+    Texts are scored whole whatever their length; repeated rows, and rows that tie at the threshold, fare alike.
+    """
     ship(spark)
     model = toxicity.train(toxicity.labelled_rows(docs, read_table(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).where("score < 0.7").select(*COLUMNS)
@@ -30,9 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id stays, once if its row is repeated.
 
     Documents without words are near nothing; a null id is the smallest. Rows of one id and different texts
-    that are all kept stay.
+    that are all kept stay. Texts are compared whole whatever their length; among equal ones the smallest id decides.
     """
     ship(spark)
+    docs = docs.select(*COLUMNS)
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     joined = docs.join(written(kept).hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
     return joined.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
@@ -42,7 +46,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Passages of ``WORDS`` words or more that stand elsewhere too go; documents with nothing left of them go.
 
     Such a passage is a run of bytes in which every string of ``REPEAT`` bytes occurs twice. Null, empty and
-    shorter texts stay as they are; rows of one text go whole.
+    shorter texts stay as they are; rows of one text go whole. A text of any length is judged whole.
     """
     ship(spark)
     cut = suffixes.remove_repeats(docs.select(*COLUMNS), length=REPEAT, gram=GRAM, least_words=WORDS)
@@ -53,7 +57,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and place in it; a null or empty text is one piece of the end id."""
+    """The pieces of all documents with their sequence and place in it; a null or empty text is one piece of the end id.
+
+    A text of any length falls into pieces of whole sequences; a repeated row is packed as often as it occurs.
+    """
     ship(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
