@@ -22,6 +22,13 @@ def safe_ratio(num: str | Column, den: str | Column) -> Column:
     return col(num) / F.nullif(col(den).cast("double"), F.lit(0.0))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's correlation of the pairs as an aggregate; NULL where either side doesn't vary, at which ``corr`` fails under ANSI rules."""
+    both = col(x).isNotNull() & col(y).isNotNull()
+    a, b = F.when(both, col(x)), F.when(both, col(y))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def clip_lower(x: str | Column, least: float) -> Column:
     """Values under ``least`` become it."""
     x = col(x)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import SCORES
+from ..functions.scalars import SCORES, correlation
 from ..sources.tables import cut
 from .linear import metrics
 from .ranks import exact_quantiles
@@ -44,17 +44,29 @@ def spot_check(df: DataFrame, target: str, old: str, new: str, by: str) -> DataF
         F.count(delta).alias("n"),
         F.avg(delta).alias("mean_delta"),
         F.stddev_samp(delta).alias("std_delta"),
-        F.corr(delta, F.col(by)).alias("delta_by_corr"),
+        correlation(delta, F.col(by)).alias("delta_by_corr"),
         F.avg(F.abs(F.col(old) - F.col(target))).alias("mae_old"),
         F.avg(F.abs(F.col(new) - F.col(target))).alias("mae_new"),
-        F.corr(old, target).alias("r_old"),
-        F.corr(new, target).alias("r_new"),
+        correlation(old, target).alias("r_old"),
+        correlation(new, target).alias("r_new"),
         F.count_if(F.abs(delta) > 0.5).alias("movers"),
     )
     median = exact_quantiles(rows, "_delta", [0.5]).select(F.col("quantiles")[0].alias("median_delta"))
     return out.crossJoin(F.broadcast(median))
 
 
+def side_by_side(outputs: Mapping[str, DataFrame], key: str) -> DataFrame:
+    """Outputs of models on the keys of the first, each filled from the first where it lacks a key, and the differences from it.
+
+    Each table has ``key``, once a row, and a column by its model's name.
+    """
+    (first, out), *rest = outputs.items()
+    for _, df in rest:
+        out = out.join(df, key, "left")
+    filled = {name: F.coalesce(name, first) for name, _ in rest}
+    return out.withColumns(filled).withColumns({f"{name}_delta": F.col(name) - F.col(first) for name, _ in rest})
+
+
 def movers(df: DataFrame, by: str, key: str, old: str, new: str, top: int, least: float) -> DataFrame:
     """Of the ``top`` rows by ``by`` (ties by ``key``) those whose predictions differ by over ``least``, with the difference."""
     cohort = df.orderBy(F.desc_nulls_last(by), key).limit(top)
@@ -67,9 +79,9 @@ def predictor_table(df: DataFrame, predictors: Sequence[str], same: str, later:
     both = F.when(F.col("value").isNotNull() & F.col(later).isNotNull(), 1)
     table = long.groupBy("metric").agg(
         F.count(F.when(F.col("value").isNotNull() & F.col(same).isNotNull(), 1)).alias("n_same"),
-        F.corr("value", same).alias("r_same"),
+        correlation("value", same).alias("r_same"),
         F.count(both).alias("n_later"),
-        F.corr("value", later).alias("r_later"),
+        correlation("value", later).alias("r_later"),
     )
     kept = table.where(F.col("n_same") >= least)
     return kept.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("r_same"), "metric")))
@@ -102,7 +114,7 @@ def ship_decision(df: DataFrame, target: str, old: str, new: str, name: Column,
     ``wanted`` maps part of a name to the mark that the first entity with it, by name, must exceed; an absent one fails.
     """
     named = [F.min_by(F.col(new), F.when(F.coalesce(name.contains(part), F.lit(False)), name)).alias(f"_{i}") for i, part in enumerate(wanted)]
-    seen = df.agg(F.corr(old, target).alias("r_old"), F.corr(new, target).alias("r_new"), *named)
+    seen = df.agg(correlation(old, target).alias("r_old"), correlation(new, target).alias("r_new"), *named)
     ok = F.lit(True)
     for i, mark in enumerate(wanted.values()):
         ok = ok & F.coalesce(F.col(f"_{i}") > mark, F.lit(False))
@@ -145,7 +157,7 @@ def stability(pairs: DataFrame, names: Sequence[str], target: str) -> DataFrame:
     """Correlation of each metric with itself a season later and with the target."""
     each = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("now"), F.col(f"next_{n}").alias("then")) for n in names]
     long = pairs.select(F.col(target).alias("_target"), F.explode(F.array(*each)).alias("m")).select("_target", "m.*")
-    return long.groupBy("metric").agg(F.corr("now", "then").alias("stability"), F.corr("now", "_target").alias("target_r"))
+    return long.groupBy("metric").agg(correlation("now", "then").alias("stability"), correlation("now", "_target").alias("target_r"))
 
 
 def evaluate(df: DataFrame, target: str, models: Sequence[str], cohort: Column | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -219,17 +219,17 @@ def corrected(data: Cells, base: Sequence[str], more: Sequence[str], alpha: floa
     return model
 
 
-def evaluate(data: Cells, features: Sequence[str], mode: str = "out_of_season", alpha: float | None = None, least_test: int = 10, least_train: int = 50, model: Model | None = None) -> list[dict]:
+def evaluate(data: Cells, features: Sequence[str], mode: str = "out_of_season", alpha: float | None = None, least_test: int = 10, least_train: int = 50, model: Model | None = None, seasons: Sequence[int] | None = None) -> list[dict]:
     """A row a season that was evaluated, and last one with season None over all predictions together.
 
     ``out_of_season``: every season by a model of all others. ``cross_season``: a season's target from the features of the season
     before, by a model of all seasons before it; cohorts are those of the predicted season. Too small a test or training set is
-    passed over. ``model`` takes the place of one ridge fit; ``features`` are then all that it uses.
+    passed over. ``model`` takes the place of one ridge fit; ``features`` are then all that it uses. ``seasons`` are those to hold out.
     """
     ahead = mode == "cross_season"
     model = model or one_fit(data, features, alpha, least_train)
     out, pooled, pooled_cohorts = [], [], {c: [] for c in data.cohorts}
-    for season in data.seasons():
+    for season in data.seasons() if seasons is None else seasons:
         tests = [(c, data.moments(c, features, NEXT if ahead else NOW)) for c in data.cells if c.season == (season - 1 if ahead else season)]
         tests = [(c, m) for c, m in tests if m is not None]
         if sum(m.n for _, m in tests) < max(1, least_test):

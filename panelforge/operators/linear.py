@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
+
 ALPHAS = np.logspace(-1, 5, 80)
 
 
@@ -164,13 +166,13 @@ def metrics(target: str, pred: str, cohort: Column | None = None) -> list[Column
     A bias is the mean of what is observed less what was predicted.
     """
     miss = F.col(target) - F.col(pred)
-    out = [F.count(miss).alias("n"), F.corr(pred, target).alias("r"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae"), F.avg(miss).alias("bias")]
+    out = [F.count(miss).alias("n"), correlation(pred, target).alias("r"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae"), F.avg(miss).alias("bias")]
     return out + ([F.avg(F.when(cohort, miss)).alias("cohort_bias")] if cohort is not None else [])
 
 
 def with_pooled(df: DataFrame, by: str, aggregates: Sequence[Column], target: str, pred: str) -> DataFrame:
     """The aggregates by ``by``, with ``pooled_r``, the correlation over all rows together, in every row."""
-    return df.groupBy(by).agg(*aggregates).crossJoin(F.broadcast(df.agg(F.corr(pred, target).alias("pooled_r"))))
+    return df.groupBy(by).agg(*aggregates).crossJoin(F.broadcast(df.agg(correlation(pred, target).alias("pooled_r"))))
 
 
 def coefficient_table(spark, fits: dict, key: str = "held_out", kind: str = "int") -> DataFrame:

@@ -73,11 +73,17 @@ def mix_entropy(events: DataFrame, keys: Sequence[str], category: str, least_sha
     return kept.groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p"))).alias("mix_entropy"))
 
 
+def with_next(panel: DataFrame, entity: str, season: str, names: Mapping[str, str]) -> DataFrame:
+    """Columns of the season after a row's own, by new name and column; NULL where that season is missing. One row an (entity, season)."""
+    w = Window.partitionBy(entity).orderBy(season)
+    follows = F.lead(season).over(w) == F.col(season) + 1
+    return panel.withColumns({new: F.when(follows, F.lead(old).over(w)) for new, old in names.items()})
+
+
 def lag_join(panel: DataFrame, entity: str, season: str, features: Sequence[str], target: str) -> DataFrame:
-    """Features of a season beside the target of the season after it, for all transitions at once."""
-    now = panel.select(entity, F.col(season).alias("from_season"), *features)
-    then = panel.select(entity, (F.col(season) - 1).alias("from_season"), F.col(season).alias("to_season"), F.col(target).alias(f"next_{target}"))
-    return now.join(then, [entity, "from_season"])
+    """Features of a season beside the target of the season after it, for all transitions at once and without a join."""
+    pairs = with_next(panel, entity, season, {"to_season": season, f"next_{target}": target}).where("to_season is not null")
+    return pairs.select(entity, F.col(season).alias("from_season"), *features, "to_season", f"next_{target}")
 
 
 def paired_seasons(panel: DataFrame, entity: str, season: str, prior: int, current: int, names: Sequence[str]) -> DataFrame:

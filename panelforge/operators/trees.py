@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .linear import hash_fold
+from .held_out import told
+from .linear import Moments, hash_fold, total
 
 MODELS = {
     "forest": lambda trees: RandomForestRegressor(labelCol="_y", featuresCol="_x", numTrees=trees, maxDepth=5, minInstancesPerNode=5, seed=42),
@@ -35,24 +39,68 @@ def gap_class(r_trees: float, r_linear: float) -> str:
 
 
 def permutation_importance(model, rows: DataFrame, features: Sequence[str], target: str, seed: int = 7) -> DataFrame:
-    """Rise of the mean squared error when one feature's values are dealt anew over the rows.
+    """Rise of the mean squared error when one feature's values are dealt anew over the rows; the model scores once.
 
     A feature's values change places along a hashed order of rows: each takes the value of the next row
-    within its hash group, so nothing is gathered in one task.
+    within its hash group, so nothing is gathered in one task. Every row is replicated, once as it is and once a feature
+    with that value changed, and all replicas are scored together and grouped by feature.
     """
-    from pyspark.sql import Window
-
     rows = rows.na.drop(subset=[*features, target]).withColumn("_h", F.xxhash64(*features, F.lit(seed)))
     groups = Window.partitionBy(F.pmod("_h", F.lit(64))).orderBy("_h")
-    moved = rows.withColumns({f"_{f}": F.coalesce(F.lead(f).over(groups), F.first(f).over(groups)) for f in features})
-    out = None
-    for name in ["", *features]:
-        swapped = moved.withColumn(name, F.col(f"_{name}")) if name else moved
-        pred = predict_trees(model, swapped, features, "_pred")
-        row = pred.agg(F.avg((F.col("_pred") - F.col(target)) ** 2).alias("mse")).select(F.lit(name).alias("feature"), "mse")
-        out = row if out is None else out.unionByName(row)
-    base = out.where("feature = ''").select(F.col("mse").alias("base"))
-    return out.where("feature <> ''").crossJoin(F.broadcast(base)).select("feature", (F.col("mse") - F.col("base")).alias("importance"))
+    plain = [F.col(f).cast("double") for f in features]
+    moved = [F.coalesce(F.lead(f).over(groups), F.first(f).over(groups)).cast("double") for f in features]
+    both = rows.select(F.col(target).alias("_t"), F.array(*plain).alias("_plain"), F.array(*moved).alias("_moved"))
+    replicas = F.array(F.struct(F.lit("").alias("feature"), F.col("_plain").alias("_values")), *[F.struct(F.lit(f).alias("feature"), F.concat(F.slice("_plain", 1, i), F.slice("_moved", i + 1, 1), F.slice("_plain", i + 2, len(features))).alias("_values")) for i, f in enumerate(features)])
+    long = both.select("_t", F.explode(replicas).alias("_r")).select("_t", "_r.feature", array_to_vector("_r._values").alias("_x"))
+    errors = model.transform(long).groupBy("feature").agg(F.avg((F.col("prediction") - F.col("_t")) ** 2).alias("mse"))
+    base = errors.agg(F.max(F.when(F.col("feature") == "", F.col("mse"))).alias("base"), F.collect_list(F.struct("feature", "mse")).alias("all"))
+    return base.select("base", F.inline("all")).where("feature <> ''").select("feature", (F.col("mse") - F.col("base")).alias("importance"))
+
+
+def held_out(panel: DataFrame, features: Sequence[str], target: str, seasons: Sequence[int], trees: Mapping[str, int], entity: str = "entity", season: str = "season", cohort: Column | None = None, least_test: int = 10, least_train: int = 50, at_once: int = 4) -> list[dict]:
+    """Ensembles under both evaluations of ``held_out.evaluate``: a row a (mode, kind) with its pooled metrics.
+
+    Rows are assembled once into one cached table, which every fit filters; fits run as concurrent Spark jobs, ``at_once``
+    at a time, as one fit has too few tasks to fill a cluster. Predictions come back as moments, not as rows.
+    """
+    w = Window.partitionBy(entity).orderBy(season)
+    flag = F.coalesce(cohort, F.lit(False)) if cohort is not None else F.lit(False)
+    follows = F.lead(season).over(w) == F.col(season) + 1
+    rows = panel.select(entity, season, *features, F.col(target).cast("double").alias("_y"), flag.alias("_c"))
+    rows = rows.withColumns({"_z": F.when(follows, F.lead("_y").over(w)), "_d": F.when(follows, F.lead("_c").over(w)).otherwise(False)})
+    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.na.drop(subset=list(features))).select(F.col(season).alias("_s"), "_x", "_y", "_z", "_c", "_d").persist()
+    try:
+        sizes = {r["_s"]: r for r in ready.groupBy("_s").agg(F.count("_y").alias("y"), F.count("_z").alias("z")).collect()}
+
+        def one(task: tuple[str, str, int]):
+            mode, kind, s = task
+            ahead = mode == "cross_season"
+            inside = [k for k in sizes if (k < s if ahead else k != s)]
+            n_test = sizes[s - 1]["z"] if ahead and s - 1 in sizes else sizes[s]["y"] if not ahead and s in sizes else 0
+            if n_test < least_test or sum(sizes[k]["y"] for k in inside) < least_train:
+                return task, {}
+            model = MODELS[kind](trees[kind]).fit(ready.where(F.col("_s").isin(inside) & F.col("_y").isNotNull()).select("_x", "_y"))
+            y, c = ("_z", "_d") if ahead else ("_y", "_c")
+            test = ready.where((F.col("_s") == (s - 1 if ahead else s)) & F.col(y).isNotNull())
+            pairs = (("prediction", "prediction"), ("prediction", y), (y, y))
+            sums = [F.count("*").alias("n"), F.avg("prediction").alias("mp"), F.avg(y).alias("my"), *[F.covar_pop(a, b).alias(f"v{i}") for i, (a, b) in enumerate(pairs)]]
+            out = {}
+            for r in model.transform(test).groupBy(F.col(c).alias("c")).agg(*sums).collect():
+                out[r["c"]] = Moments(float(r["n"]), np.array([r["mp"], r["my"]]), np.array([[r["v0"], r["v1"]], [r["v1"], r["v2"]]]) * r["n"], ["pred"])
+            return task, out
+
+        tasks = [(m, k, s) for m in ("out_of_season", "cross_season") for k in trees for s in seasons]
+        with ThreadPoolExecutor(at_once) as pool:
+            found = list(pool.map(one, tasks))
+    finally:
+        ready.unpersist()
+    out = []
+    for mode in ("out_of_season", "cross_season"):
+        for kind in trees:
+            own = [(c, m) for (o, k, _), cells in found if (o, k) == (mode, kind) for c, m in cells.items()]
+            high = [m for c, m in own if c]
+            out.append({"mode": mode, "model": kind, "trees": trees[kind], **told(total([m for _, m in own]) if own else None), "bias_hi": told(total(high) if high else None)["bias"]})
+    return out
 
 
 def out_of_fold(rows: DataFrame, features: Sequence[str], target: str, kinds: Sequence[str], keys: Sequence[str], folds: int = 2, trees: int = 10) -> DataFrame:

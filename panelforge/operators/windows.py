@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .ranks import exact_quantiles
 
 
@@ -62,6 +63,7 @@ def z_scores(df: DataFrame, signs: dict[str, int]) -> DataFrame:
 
     Means and deviations are one aggregated row, not a window over everything.
     """
+    df = cut(df)
     stats = df.agg(*[a for n in signs for a in (F.avg(n).alias(f"_{n}_m"), F.stddev_pop(n).alias(f"_{n}_s"))])
     out = df.crossJoin(F.broadcast(stats))
     z = {f"{n}_z": s * (F.col(n) - F.col(f"_{n}_m")) / F.nullif(F.col(f"_{n}_s"), F.lit(0.0)) for n, s in signs.items()}
@@ -71,6 +73,7 @@ def z_scores(df: DataFrame, signs: dict[str, int]) -> DataFrame:
 
 def trend_label(df: DataFrame, name: str, width: float = 0.75, out: str = "label") -> DataFrame:
     """HIGH and LOW beyond ``width`` sample deviations from the mean over all rows, else NORMAL."""
-    stats = df.agg(F.avg(name).alias("_m"), F.stddev_samp(name).alias("_s"))
+    rows = cut(df)
+    stats = rows.agg(F.avg(name).alias("_m"), F.stddev_samp(name).alias("_s"))
     far = F.when(F.col(name) > F.col("_m") + width * F.col("_s"), "HIGH").when(F.col(name) < F.col("_m") - width * F.col("_s"), "LOW").otherwise("NORMAL")
-    return df.crossJoin(F.broadcast(stats)).withColumn(out, far).drop("_m", "_s")
+    return rows.crossJoin(F.broadcast(stats)).withColumn(out, far).drop("_m", "_s")

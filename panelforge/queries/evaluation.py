@@ -9,11 +9,12 @@ from ..operators import comparing as K
 from ..operators import held_out as H
 from ..operators import linear as L
 from ..operators import panel as P
+from ..operators import trees as T
 from ..operators import windows as W
 from ..plans import season as S
 from ..session import table
 from .base import ALL, panel, rounded
-from .modeling import _TOLD, _cells, _held_out_sql, _scored
+from .modeling import FEATURES, _TOLD, _cells, _held_out_sql, _scored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,3 +176,20 @@ def m27_entity_check(spark, sf_dir):
     """Whether one entity's value of one season is where it is known to be; an absent row doesn't pass."""
     seen = panel(spark, sf_dir).where("entity = 3 AND season = 2000").agg(F.max("k_pct").alias("k_pct"))
     return rounded(K.checks(seen, {"k_pct": (0.3, 0.7)}))
+
+
+#: Seasons held out, and trees of a fit: fewer than a full fit's 500 and 300, for time.
+HELD_OUT, TREES = [1998, 1999, 2000, 2001], {"forest": 20, "boosted": 20}
+
+
+@query()
+def m8_held_out_trees(spark, sf_dir):
+    """Both ensembles out of season and across seasons beside the ridge fit of the same seasons, with how far they are ahead."""
+    p = panel(spark, sf_dir)
+    data = _cells(spark, sf_dir, FEATURES)
+    ridge = {m: H.evaluate(data, FEATURES, m, seasons=HELD_OUT)[-1]["r"] for m in ("out_of_season", "cross_season")}
+    rows = T.held_out(p, FEATURES, "target", HELD_OUT, TREES, cohort=F.col("k_pct") > 0.5)
+    for r in rows:
+        both = r["r"] is not None and ridge[r["mode"]] is not None
+        r |= {"ridge_r": ridge[r["mode"]], "gap": r["r"] - ridge[r["mode"]] if both else None, "gap_class": T.gap_class(r["r"], ridge[r["mode"]]) if both else None}
+    return spark.createDataFrame(rows, "mode string, model string, trees int, n long, r double, rmse double, bias double, bias_hi double, ridge_r double, gap double, gap_class string")

@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 from ..operators import blending as B
 from ..operators import comparing as K
 from ..operators import held_out as H
@@ -14,6 +15,7 @@ from ..operators import panel as P
 from ..operators import trees as T
 from ..operators import windows as W
 from ..plans import season as S
+from ..sources.tables import cut
 from .base import ALL, panel, rounded
 
 QUERIES: dict = {}
@@ -244,7 +246,7 @@ _LONG = "lng AS (" + " UNION ALL ".join(f"SELECT config, dataset, r, k_bias, '{n
 
 def _configs(spark, sf_dir):
     p = panel(spark, sf_dir)
-    out = p.groupBy("season").agg(F.round(F.corr("k_pct", "target"), 4).alias("r"), F.round(F.avg(F.when(F.col("k_pct") > 0.5, F.col("target") - F.col("k_pct") * 10)), 4).alias("k_bias"))
+    out = p.groupBy("season").agg(F.round(correlation("k_pct", "target"), 4).alias("r"), F.round(F.avg(F.when(F.col("k_pct") > 0.5, F.col("target") - F.col("k_pct") * 10)), 4).alias("k_bias"))
     return out.select(F.concat(F.lit("season "), F.col("season").cast("string")).alias("config"), F.when(F.col("season") < 1999, "early").otherwise("late").alias("dataset"), "r", "k_bias")
 
 
@@ -305,8 +307,7 @@ ml AS (SELECT 'k_pct' AS metric, k_pct AS v, target, later FROM nx UNION ALL SEL
 @query(f"""{ALL}, {_PRED} SELECT metric, count(*) AS n_same, round(corr(v, target), 4) AS r_same, count(later) AS n_later, round(corr(v, later), 4) AS r_later, CAST(row_number() OVER (ORDER BY corr(v, target) DESC NULLS LAST, metric) AS INT) AS position FROM ml GROUP BY metric""")
 def m20_predictors(spark, sf_dir):
     p = panel(spark, sf_dir)
-    later = p.select("entity", (F.col("season") - 1).alias("season"), F.col("target").alias("later"))
-    return rounded(K.predictor_table(p.join(later, ["entity", "season"], "left"), ["k_pct", "swing_pct", "avg_qty"], "target", "later"), 4)
+    return rounded(K.predictor_table(P.with_next(p, "entity", "season", {"later": "target"}), ["k_pct", "swing_pct", "avg_qty"], "target", "later"), 4)
 
 
 @query(f"""{ALL}, t AS (SELECT *, k_pct * 10 AS o, k_pct * 9 + swing_pct AS w FROM panel) SELECT count(*) AS n, round(avg(w - o), 6) AS mean_delta, round(median(w - o), 6) AS median_delta, round(stddev_samp(w - o), 6) AS std_delta, round(corr(w - o, k_pct), 6) AS delta_by_corr,
@@ -318,7 +319,7 @@ def j3_m22_spot_check(spark, sf_dir):
 @query(f"""{ALL}, o AS (SELECT count(*) AS n, corr(k_pct, target) AS r, avg(k_pct) AS k FROM panel) SELECT 'n' AS "check", CAST(n AS DOUBLE) AS observed, CAST(400 AS DOUBLE) AS least, CAST(1e12 AS DOUBLE) AS most, n >= 400 AS passed FROM o UNION ALL
 SELECT 'r', round(r, 6), CAST(0.8 AS DOUBLE), CAST(1 AS DOUBLE), r BETWEEN 0.8 AND 1 FROM o UNION ALL SELECT 'k', round(k, 6), CAST(0.3 AS DOUBLE), CAST(0.7 AS DOUBLE), k BETWEEN 0.3 AND 0.7 FROM o""")
 def m27_d13_checks(spark, sf_dir):
-    seen = panel(spark, sf_dir).agg(F.count("*").alias("n"), F.corr("k_pct", "target").alias("r"), F.avg("k_pct").alias("k"))
+    seen = panel(spark, sf_dir).agg(F.count("*").alias("n"), correlation("k_pct", "target").alias("r"), F.avg("k_pct").alias("k"))
     return rounded(K.checks(seen, {"n": (400, 1e12), "r": (0.8, 1.0), "k": (0.3, 0.7)}))
 
 
@@ -326,13 +327,13 @@ def m27_d13_checks(spark, sf_dir):
 SELECT metric, round(corr(n, t), 4) AS stability, round(corr(n, target), 4) AS target_r FROM l GROUP BY ALL""")
 def d5_stability(spark, sf_dir):
     p = panel(spark, sf_dir)
-    later = p.select("entity", (F.col("season") - 1).alias("season"), F.col("k_pct").alias("next_k_pct"), F.col("avg_qty").alias("next_avg_qty"))
-    return rounded(K.stability(p.join(later, ["entity", "season"]), ["k_pct", "avg_qty"], "target"), 4)
+    pairs = P.with_next(p, "entity", "season", {"to_season": "season", "next_k_pct": "k_pct", "next_avg_qty": "avg_qty"}).where("to_season is not null")
+    return rounded(K.stability(pairs, ["k_pct", "avg_qty"], "target"), 4)
 
 
 @query()
 def m8_trees(spark, sf_dir):
-    p = panel(spark, sf_dir).persist()
+    p = cut(panel(spark, sf_dir))
     train, test = p.where("season < 2001"), p.where("season = 2001")
     fit = L.ridge_search(L.moments(train, FEATURES, "target", "season"))
     scored = test.withColumn("ridge", fit.predict())
@@ -343,13 +344,13 @@ def m8_trees(spark, sf_dir):
 
 @query()
 def m25_permutation_importance(spark, sf_dir):
-    p = panel(spark, sf_dir).persist()
+    p = cut(panel(spark, sf_dir))
     return T.permutation_importance(T.fit_trees(p, FEATURES, "target", "forest", 10), p, FEATURES, "target")
 
 
 @query()
 def m26_stacked(spark, sf_dir):
-    rows = T.out_of_fold(panel(spark, sf_dir).persist(), FEATURES, "target", list(T.MODELS), ["entity", "season"], trees=5).persist()
+    rows = cut(T.out_of_fold(cut(panel(spark, sf_dir)), FEATURES, "target", list(T.MODELS), ["entity", "season"], trees=5))
     fit = L.ridge_search(L.moments(rows, list(T.MODELS), "target", "season"))
     return K.evaluate(rows.withColumn("stacked", fit.predict()), "target", ["stacked", *T.MODELS])
 
@@ -365,7 +366,7 @@ def m16_projection(spark, sf_dir):
 @query()
 def d1_d2_d3_d4_variants(spark, sf_dir):
     """Season-weighted, by cohort, by component and residual-corrected fits, with their errors."""
-    p = panel(spark, sf_dir).persist()
+    p = cut(panel(spark, sf_dir))
     by = L.moments(p, FEATURES, "target", "season")
     weights = {s: {2001: 5.0, 2000: 4.0, 1999: 3.0}.get(s, 1.0) for s in by}
     heavy = [L.Moments(m.n * weights[s], m.mean, m.centred * weights[s], m.names) for s, m in by.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 from ..functions import scalars as C
 from ..operators import panel as P
 from ..plans import season as S
@@ -184,9 +185,10 @@ def p3_p9_t3_t4_extremes(spark, sf_dir):
 @query(f"""{ALL}, a AS (SELECT DISTINCT entity FROM qp WHERE season = 2000), b AS (SELECT DISTINCT entity FROM qp WHERE season = 1999)
 SELECT 'both' AS kind, entity FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'gone', entity FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def x3_x4_x5_sets(spark, sf_dir):
-    q = S.qualified_panel(panel(spark, sf_dir))
-    a, b = (q.where(F.col("season") == s).select("entity").dropDuplicates() for s in (2000, 1999))
-    return a.intersect(b).select(F.lit("both").alias("kind"), "entity").unionByName(b.subtract(a).select(F.lit("gone").alias("kind"), "entity"))
+    """Keys of two seasons, both or the earlier one alone, from one grouping."""
+    q = S.qualified_panel(panel(spark, sf_dir)).where("season in (1999, 2000)")
+    seen = q.groupBy("entity").agg(F.max(F.col("season") == 2000).alias("now"), F.max(F.col("season") == 1999).alias("before"))
+    return seen.where("before").select(F.when(F.col("now"), "both").otherwise("gone").alias("kind"), "entity")
 
 
 @query(f"""{ALL}, w AS (SELECT season, session, round(avg(score), 6) AS m FROM se GROUP BY ALL) SELECT * FROM w WHERE m > (SELECT avg(score) FROM se) ORDER BY m DESC, season, session LIMIT 12""")
@@ -240,6 +242,6 @@ TAGS = {"k_pct": "clean", "swing_pct": "clean", "hit_pct": "clean", "avg_qty": "
 def d12_feature_registry(spark, sf_dir):
     """Every feature with its provenance tag, how many rows have it, and its correlation with the target."""
     p = panel(spark, sf_dir)
-    seen = p.agg(*[F.count(f).alias(f"n_{f}") for f in TAGS], *[F.corr(f, "target").alias(f"r_{f}") for f in TAGS])
+    seen = p.agg(*[F.count(f).alias(f"n_{f}") for f in TAGS], *[correlation(f, "target").alias(f"r_{f}") for f in TAGS])
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(t).alias("tag"), F.col(f"n_{f}").alias("n"), F.col(f"r_{f}").alias("r")) for f, t in TAGS.items()])
     return rounded(seen.select(F.inline(rows)), 4)

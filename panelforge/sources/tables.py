@@ -63,6 +63,13 @@ def scan_events(spark: SparkSession, path: str, seasons: Sequence[int] | None =
     return df.select(*columns) if columns else df
 
 
+def scan_seasons(spark: SparkSession, path: str, wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Events of the seasons that ``wanted`` (a row a season) holds; the scan prunes folders by what it finds there at run time."""
+    # Spark prunes at run time only by a side that a comparison filters; a boolean column alone is none to it.
+    seasons = wanted.select("season").distinct().where(F.col("season") > F.lit(-(2**31)))
+    return scan_events(spark, path, columns=columns).join(F.broadcast(seasons), "season")
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """The first CSV that exists, with its header, under an explicit schema."""
     path = first_existing(spark, paths)
