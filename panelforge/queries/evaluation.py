@@ -193,3 +193,42 @@ def m8_held_out_trees(spark, sf_dir):
         both = r["r"] is not None and ridge[r["mode"]] is not None
         r |= {"ridge_r": ridge[r["mode"]], "gap": r["r"] - ridge[r["mode"]] if both else None, "gap_class": T.gap_class(r["r"], ridge[r["mode"]]) if both else None}
     return spark.createDataFrame(rows, "mode string, model string, trees int, n long, r double, rmse double, bias double, bias_hi double, ridge_r double, gap double, gap_class string")
+
+
+#: Feature sets of two at most: what is added to the first one, what takes its place, and named sets with polynomials.
+SETS = [("base", "k_pct", None), ("add", "k_pct", "swing_pct"), ("add", "k_pct", "hit_pct"), ("add", "k_pct", "zone_pct"), ("swap", "swing_pct", None), ("swap", "avg_qty", None), ("named", "hit_pct", "zone_pct"), ("polynomial", "k_pct", "log_k"), ("polynomial", "k_pct", "k_sq")]
+_DERIVED = {"log_k": "ln(k_pct + 1)", "k_sq": "k_pct * k_pct"}
+
+
+def _nested_sql(tag: str, x1: str, x2: str | None) -> str:
+    """CTEs that end in ``e{tag}``: each of five folds predicted by a fit on the others, which choose its penalty among themselves."""
+    cte = _held_out_sql(tag, _DERIVED.get(x1, x1), _DERIVED.get(x2, x2) if x2 else "0", False)
+    cte = cte.replace("(SELECT DISTINCT season AS held FROM", "(SELECT DISTINCT fold AS held FROM").replace("b.season <> h.held", "b.fold <> h.held")
+    return cte.replace("SELECT season AS held, x1, x2, y, k FROM", "SELECT fold AS held, x1, x2, y, k FROM")
+
+
+_SCORES = " UNION ALL ".join(
+    f"SELECT {i} AS nr, '{kind}' AS kind, '{','.join(f for f in (a, b) if f)}' AS features, sqrt(greatest(avg(r2), 0)) AS score FROM (SELECT 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2 FROM e{i} GROUP BY season)"
+    for i, (kind, a, b) in enumerate(SETS)
+)
+
+
+@query(f"""{ALL}, {", ".join(_nested_sql(str(i), a, b) for i, (_, a, b) in enumerate(SETS))}, s AS ({_SCORES})
+SELECT kind, features, round(score, 4) AS score, round(score - (SELECT score FROM s WHERE nr = 0), 4) AS gain FROM s""")
+def m5_m10_m11_m12_m24_nested(spark, sf_dir):
+    """Nested five-fold scores of single additions, replacements, named sets and polynomials, all from one aggregate."""
+    names = list(dict.fromkeys(f for _, a, b in SETS for f in (a, b) if f))
+    p = panel(spark, sf_dir).withColumns({"log_k": F.ln(F.col("k_pct") + 1), "k_sq": F.col("k_pct") * F.col("k_pct")})
+    folds = L.moments(p, names, "target", L.key_fold(5, "entity", "season"))
+    scores = [L.k_fold_score({k: m.only([f for f in (a, b) if f]) for k, m in folds.items()}) for _, a, b in SETS]
+    rows = [(kind, ",".join(f for f in (a, b) if f), score, score - scores[0]) for (kind, a, b), score in zip(SETS, scores)]
+    return rounded(spark.createDataFrame(rows, "kind string, features string, score double, gain double"), 4)
+
+
+@query(f"""{ALL}, {_held_out_sql("a", "k_pct", "swing_pct", True)}, f AS (SELECT fia.*, d1, d2 FROM fia JOIN sca USING (held) WHERE held = 9999)
+SELECT 'k_pct' AS feature, round(c1, 4) AS coefficient, round(c1 * d1, 4) AS standardized, round(a, 4) AS alpha FROM f UNION ALL SELECT 'swing_pct', round(c2, 4), round(c2 * d2, 4), round(a, 4) FROM f""")
+def m15_coefficients(spark, sf_dir):
+    """Coefficients and standardized ones of two features under the penalty that five folds choose."""
+    fit = L.ridge_search(L.moments(panel(spark, sf_dir), ["k_pct", "swing_pct"], "target", L.key_fold(5, "entity", "season")))
+    rows = [(f, float(c), float(s), fit.alpha) for f, c, s in zip(fit.features, fit.coefficients, fit.standardized)]
+    return rounded(spark.createDataFrame(rows, "feature string, coefficient double, standardized double, alpha double"), 4)

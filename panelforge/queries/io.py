@@ -75,6 +75,19 @@ def s10_c20_log(spark, sf_dir):
     return spark.read.parquet(path).select("label", "n", F.round("r", 4).alias("r"))
 
 
+@query(f"""{ALL} SELECT 'm' || season AS label, count(*) AS n, true AS stamped FROM panel GROUP BY season""")
+def c20_stamped_log(spark, sf_dir):
+    """Records carry the time of their run: between the run's begin and its end, the same for all records of one append."""
+    path = own_folder(spark)
+    began = spark.sql("SELECT now() AS t").first()["t"]
+    rows = panel(spark, sf_dir).groupBy("season").agg(F.count("*").alias("n"))
+    R.append_log(rows.select(F.concat(F.lit("m"), F.col("season").cast("string")).alias("label"), "n", F.current_timestamp().alias("run_ts")), path)
+    log = spark.read.parquet(path)
+    times = log.agg(F.count_distinct("run_ts").alias("_times"))
+    within = F.col("run_ts").between(F.lit(began), F.current_timestamp()) & (F.col("_times") == 1)
+    return log.crossJoin(F.broadcast(times)).select("label", "n", F.coalesce(within, F.lit(False)).alias("stamped"))
+
+
 @query("""SELECT event_id AS id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS missing FROM events""")
 def s11_json_stats(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
