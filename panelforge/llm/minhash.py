@@ -10,11 +10,11 @@ never posted; they are skipped to and counted only for sets that met in the pref
 
 Copies of a set are one class and post once. Three steps find the links. First each class meets the
 smallest class of each of its postings. Then it meets the class of another component that agrees with it
-most. Last, all classes of one posting that agree enough and are still in different components become
-candidates, each pair once, as one row a class with its partners. Candidates that hang together are a
-cluster; its classes are dealt into blocks by their own hash, the texts of every two blocks meet in one
-task, which confirms their candidates on full sets and gives back a spanning forest of the links. So
-neither pairs nor sets are listed once a posting, and no link between components is passed over.
+most. Last, classes of one posting that agree enough and are still in different components hang together, each told by the
+smallest class it hangs together with there. What hangs together is a cluster; its classes are dealt into blocks by their
+own hash, and signatures and texts of every two blocks meet in one task, which finds the candidates there by their signatures,
+confirms them on full sets, and gives back a spanning forest of the links. So neither pairs nor partners are ever
+listed, and no link between components is passed over.
 """
 
 from __future__ import annotations
@@ -181,8 +181,7 @@ def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent:
     """Agreeing pairs of different components among the classes of each posting, each pair where it is first shared.
 
     With ``best`` rows ``node, partner, agree``: for each class of a posting the partner that agrees most.
-    Else ``node, partners, root``: a class with all its larger partners, 16 bytes each, and the smallest class
-    that it hangs together with in the block. Postings of one component are left out before signatures are
+    Else ``node, root``: a class and the smallest one that it hangs together with in the block. Postings of one component are left out before signatures are
     fetched. A posting is dealt into blocks, and every two blocks meet in one place, so no task holds more than two.
     """
     least, groups, width = prefix(percent)
@@ -196,8 +195,8 @@ def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent:
         "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n_shingles", "sig", "place"
     )
     placed = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    names = ["node", "partner", "agree"] if best else ["node", "partners", "root"]
-    kinds = [pa.binary(), pa.binary(), pa.int32() if best else pa.binary()]
+    names = ["node", "partner", "agree"] if best else ["node", "root"]
+    kinds = [pa.binary(), pa.binary(), pa.int32()][: len(names)]
 
     def met(rows: list) -> Iterator[tuple]:
         parts = {c: i for i, c in enumerate(dict.fromkeys(r[5] for r in rows))}
@@ -210,7 +209,6 @@ def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent:
         across = rows[0][1] != rows[0][2]
         nodes = [r[4] for r in rows]
         root, most, partner = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64), np.full(len(rows), -1)
-        found: dict[int, bytes] = {}
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
             like = np.bitwise_count(np.packbits(short[rest] == short[i], axis=1).view(np.uint64)).sum(axis=1)
@@ -234,17 +232,16 @@ def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent:
                 more = agree > most[at]
                 most[at[more]], partner[at[more]] = agree[more], i
                 continue
-            found[i] = b"".join([nodes[j] for j in at.tolist()])
             ends = np.append(root[at], root[i])
             root[np.isin(root, ends)] = ends.min()
         for i in range(len(rows)):
             if best and partner[i] >= 0:
                 yield nodes[i], nodes[partner[i]], int(most[i])
-            elif not best and (i in found or root[i] != i):
-                yield nodes[i], found.get(i), nodes[root[i]]
+            elif not best and root[i] != i:
+                yield nodes[i], nodes[root[i]]
 
     def table(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ([], [], []), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -259,7 +256,7 @@ def _met(shared: DataFrame, components: DataFrame, classes: DataFrame, percent:
         if held:
             yield table(list(met(held)))
 
-    return placed.mapInArrow(run, "node binary, partner binary, agree int" if best else "node binary, partners binary, root binary")
+    return placed.mapInArrow(run, "node binary, partner binary, agree int" if best else "node binary, root binary")
 
 
 def _texts(classes: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -271,72 +268,68 @@ def _texts(classes: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return texts
 
 
-def _resolved(candidates: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A spanning forest ``a, b`` of the links among ``candidates(node, partners, root)``, confirmed on full sets."""
-    clusters = connected_components(candidates.select(F.col("node").alias("a"), F.col("root").alias("b")))
+def _resolved(candidates: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A spanning forest ``a, b`` of the links between components within the clusters of ``candidates(node, root)``, confirmed on full sets.
+
+    Every two blocks of a cluster meet once, so a cluster of b blocks moves each of its texts b times, and a row back is a link.
+    """
+    least = prefix(percent)[0]
+    clusters = connected_components(candidates.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "cluster")
     sized = written(clusters.join(classes.select("node", "n_shingles").hint("merge"), "node"))
     most = F.greatest(F.count("*") / CELL, F.sum("n_shingles") / CELL_SHINGLES)
-    blocks = written(sized.groupBy("component").agg(F.ceil(most).cast("long").alias("blocks")))
+    blocks = written(sized.groupBy("cluster").agg(F.ceil(most).cast("long").alias("blocks")))
     dealt = written(
-        sized.select("node", "component")
-        .join(blocks.hint("merge"), "component")
+        sized.select("node", "cluster")
+        .join(blocks.hint("merge"), "cluster")
         .withColumn("own", F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") % F.col("blocks"))
     )
     texts = _texts(classes, dealt.select("node"), docs)
-    lists = candidates.where("partners is not null").select("node", "partners").join(dealt.hint("merge"), "node")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list = []
-            for node, partners, component, blocks, own in zip(*(c.to_pylist() for c in b.columns)):
-                if blocks == 1:
-                    rows.append((component, 0, 0, 1, node, partners))
-                    continue
-                raw = np.frombuffer(partners, dtype=np.uint8).reshape(-1, 16)
-                theirs = np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.int64) % blocks
-                for other in np.unique(theirs).tolist():
-                    rows.append((component, min(own, other), max(own, other), 1, node, raw[theirs == other].tobytes()))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["component", "lo", "hi", "kind", "node", "body"])
-
-    pairs = lists.select("node", "partners", "component", "blocks", "own").mapInArrow(split, "component binary, lo long, hi long, kind int, node binary, body binary")
-    sets = dealt.join(texts.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sets = sets.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(0).alias("kind"), "node", F.col("text").cast("binary").alias("body"))
-    placed = sets.unionByName(pairs).repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "kind", "node")
+    whole = dealt.join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    whole = whole.join(classes.select("node", "sig").hint("merge"), "node").join(texts.hint("merge"), "node")
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = whole.select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "sig", F.col("text").cast("binary").alias("body"))
+    placed = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
 
     def solved(rows: list) -> list[tuple[bytes, bytes]]:
-        nodes = [r[4] for r in rows if r[3] == 0]
-        if len(nodes) == len(rows):
+        first = dict[bytes, int]()
+        root = np.array([first.setdefault(r[5], i) for i, r in enumerate(rows)])  # what is linked already is one
+        if len(first) < 2:
             return []
-        place = {x: i for i, x in enumerate(nodes)}
-        found = [shingles(r[5].decode(errors="replace"), words) for r in rows[: len(nodes)]]
+        nodes, own = [r[4] for r in rows], np.array([r[3] for r in rows])
+        across = rows[0][1] != rows[0][2]
+        sig = np.frombuffer(b"".join([r[6] for r in rows]), dtype=np.uint32).reshape(-1, COORDINATES)
+        short = sig.astype(np.uint8)  # agrees wherever ``sig`` does
+        found = [shingles(r[7].decode(errors="replace"), words) for r in rows]
         n = np.array([len(x) for x in found])
         stops = np.cumsum(n)
         _, flat = np.unique(np.concatenate(found), return_inverse=True)
-        own = [flat[b - k : b] for b, k in zip(stops.tolist(), n.tolist())]
+        its = [flat[b - k : b] for b, k in zip(stops.tolist(), n.tolist())]
         mark = np.zeros(int(flat.max()) + 1, dtype=bool)
-        up = list(range(len(nodes)))
         out = []
 
-        def top(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for r in rows[len(nodes) :]:
-            a = place[r[4]]
-            others = np.array([place[r[5][k : k + 16]] for k in range(0, len(r[5]), 16)])
-            mark[own[a]] = True
-            sizes = n[others]
-            borders = np.cumsum(sizes) - sizes
-            both = np.add.reduceat(mark[np.concatenate([own[j] for j in others.tolist()])].astype(np.int64), borders)
-            mark[own[a]] = False
-            for j in others[100 * both >= percent * (n[a] + sizes - both)].tolist():
-                x, y = top(a), top(j)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    out.append((nodes[a], nodes[j]))
+        for i in range(len(rows) - 1):
+            rest = slice(i + 1, None)
+            may = (root[rest] != root[i]) & (n[rest] * 100 >= n[i] * percent) & (n[i] * 100 >= n[rest] * percent)
+            if across:
+                may &= own[rest] != own[i]
+            at = np.flatnonzero(may) + i + 1
+            at = at[np.bitwise_count(np.packbits(short[at] == short[i], axis=1).view(np.uint64)).sum(axis=1) >= least]
+            at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+            if not len(at):
+                continue
+            mark[its[i]] = True
+            for k in range(0, len(at), 256):
+                some = at[k : k + 256]
+                some = some[root[some] != root[i]]
+                if not len(some):
+                    continue
+                borders = np.cumsum(n[some]) - n[some]
+                both = np.add.reduceat(mark[np.concatenate([its[j] for j in some.tolist()])].astype(np.int64), borders)
+                for j in some[100 * both >= percent * (n[i] + n[some] - both)].tolist():
+                    if root[j] != root[i]:
+                        out.append((nodes[i], nodes[j]))
+                        root[root == max(root[i], root[j])] = min(root[i], root[j])
+            mark[its[i]] = False
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +378,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int
 
 def _exhausted(shared: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between different components, as many as join all that can be joined."""
-    candidates = written(_met(shared, components, classes, percent, best=False))
+    candidates = written(_met(shared, components, classes, percent, best=False).distinct())
     if not candidates.limit(1).count():
         return candidates.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = _resolved(candidates, classes, docs, words, percent)
+    found = _resolved(candidates, components, classes, docs, words, percent)
     forget(candidates)
     return found
 
