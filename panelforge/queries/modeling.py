@@ -131,7 +131,7 @@ def m9_two_features(spark, sf_dir):
     """Elimination from two features, one of which many rows lack, down to one, scored across seasons."""
     some = F.when(F.col("contact_pct") > 0.52, None).otherwise(F.col("hit_pct"))
     data = _cells(spark, sf_dir, ["k_pct", "hit_some"], {"hit_some": some})
-    rows = H.eliminate(data, data.features, _cross_score, least_features=0)
+    rows = H.eliminate(data, data.features, _cross_score, least_features=0, least_rows=50)
     return rounded(spark.createDataFrame(rows, _ELIMINATION), 4).withColumn("score", F.round("score", 2))
 
 

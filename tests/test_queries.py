@@ -8,6 +8,8 @@ from oracle import connect, difference
 from panelforge import queries as Q
 
 SQL = Q.oracle_sql()
+#: What has no result on the smallest tables: no feature set has the hundred complete rows that an elimination wants.
+NOTHING_SMALL = {"m9_backward_elimination"}
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +22,8 @@ def test_query(spark, small, con, name):
     df = Q.queries()[name](spark, small)
     if name in SQL:
         assert difference(df, SQL[name], con) == ""
+    elif name in NOTHING_SMALL:
+        assert df.count() == 0
     else:
         assert df.count() > 0
 
@@ -31,6 +35,11 @@ def test_query_on_more_rows(spark, name):
     assert difference(Q.queries()[name](spark, sf_dir), SQL[name], connect(sf_dir)) == ""
 
 
+@pytest.mark.parametrize("name", sorted(NOTHING_SMALL))
+def test_result_on_more_rows(spark, name):
+    assert Q.queries()[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
