@@ -238,3 +238,17 @@ def test_fold_scores_for_all_penalties_at_once(spark):
     for alpha, got in zip(L.ALPHAS[::13], L.fold_scores(folds)[::13]):
         each = [L._r2(L.solve(L.total([m for k, m in folds.items() if k != held]), alpha, scale), folds[held]) for held in folds]
         assert got == pytest.approx(np.mean(each), abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", [2, 7])
+def test_penalties_equal_to_twelve_decimals(seed):
+    """On rows that all stand there a hundred times, several penalties are as good as the best; the smallest is chosen."""
+    rng, folds = np.random.default_rng(seed), {}
+    for k in range(5):
+        x = rng.normal(size=(400, 2))
+        d = np.c_[x, x @ [1, 0.5] + rng.normal(0, 0.02, 400)]
+        folds[k] = L.Moments(40_000.0, d.mean(axis=0), (d - d.mean(axis=0)).T @ (d - d.mean(axis=0)) * 100, ["a", "b"])
+    scale = np.sqrt(np.diag(L.total(list(folds.values())).centred)[:2] / 200_000)
+    scores = [np.mean([L._r2(L.solve(L.total([m for k, m in folds.items() if k != held]), a, scale), folds[held]) for held in folds]) for a in L.ALPHAS]
+    equal = [a for a, s in zip(L.ALPHAS, scores) if round(s, 12) == round(max(scores), 12)]
+    assert len(equal) > 1 and L.ridge_search(folds).alpha == equal[0] < L.ALPHAS[int(np.argmax(scores))]
