@@ -60,26 +60,25 @@ def permutation_importance(model, rows: DataFrame, features: Sequence[str], targ
 def held_out(panel: DataFrame, features: Sequence[str], target: str, seasons: Sequence[int], trees: Mapping[str, int], entity: str = "entity", season: str = "season", cohort: Column | None = None, least_test: int = 10, least_train: int = 50, at_once: int = 4) -> list[dict]:
     """Ensembles under both evaluations of ``held_out.evaluate``: a row a (mode, kind) with its pooled metrics.
 
-    Rows are assembled once into one cached table, which every fit filters; fits run as concurrent Spark jobs, ``at_once``
-    at a time, as one fit has too few tasks to fill a cluster. Predictions come back as moments, not as rows.
+    Rows are assembled once into one cached table, which every fit filters, in as many partitions as there are cores: each of
+    an ensemble's hundreds of jobs runs a task a partition. Fits run as concurrent Spark jobs, ``at_once`` at a time; seasons to
+    predict from the same training seasons share one. Predictions come back as moments, not as rows.
     """
+    partitions = panel.sparkSession.sparkContext.defaultParallelism
     w = Window.partitionBy(entity).orderBy(season)
     flag = F.coalesce(cohort, F.lit(False)) if cohort is not None else F.lit(False)
     follows = F.lead(season).over(w) == F.col(season) + 1
-    rows = panel.select(entity, season, *features, F.col(target).cast("double").alias("_y"), flag.alias("_c"))
+    rows = panel.select(entity, season, *features, F.col(target).cast("double").alias("_y"), flag.alias("_c")).repartition(partitions, entity)
     rows = rows.withColumns({"_z": F.when(follows, F.lead("_y").over(w)), "_d": F.when(follows, F.lead("_c").over(w)).otherwise(False)})
     ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.na.drop(subset=list(features))).select(F.col(season).alias("_s"), "_x", "_y", "_z", "_c", "_d").persist()
     try:
         sizes = {r["_s"]: r for r in ready.groupBy("_s").agg(F.count("_y").alias("y"), F.count("_z").alias("z")).collect()}
 
-        def one(task: tuple[str, str, int]):
-            mode, kind, s = task
+        def inside(mode: str, s: int) -> tuple[int, ...]:
+            return tuple(sorted(k for k in sizes if (k < s if mode == "cross_season" else k != s)))
+
+        def scored(model, mode: str, s: int) -> dict[bool, Moments]:
             ahead = mode == "cross_season"
-            inside = [k for k in sizes if (k < s if ahead else k != s)]
-            n_test = sizes[s - 1]["z"] if ahead and s - 1 in sizes else sizes[s]["y"] if not ahead and s in sizes else 0
-            if n_test < least_test or sum(sizes[k]["y"] for k in inside) < least_train:
-                return task, {}
-            model = MODELS[kind](trees[kind]).fit(ready.where(F.col("_s").isin(inside) & F.col("_y").isNotNull()).select("_x", "_y"))
             y, c = ("_z", "_d") if ahead else ("_y", "_c")
             test = ready.where((F.col("_s") == (s - 1 if ahead else s)) & F.col(y).isNotNull())
             pairs = (("prediction", "prediction"), ("prediction", y), (y, y))
@@ -87,11 +86,22 @@ def held_out(panel: DataFrame, features: Sequence[str], target: str, seasons: Se
             out = {}
             for r in model.transform(test).groupBy(F.col(c).alias("c")).agg(*sums).collect():
                 out[r["c"]] = Moments(float(r["n"]), np.array([r["mp"], r["my"]]), np.array([[r["v0"], r["v1"]], [r["v1"], r["v2"]]]) * r["n"], ["pred"])
-            return task, out
-
-        tasks = [(m, k, s) for m in ("out_of_season", "cross_season") for k in trees for s in seasons]
+            return out
+
+        def one(task: tuple[str, tuple[int, ...]]):
+            kind, seasons_in = task
+            model = MODELS[kind](trees[kind]).fit(ready.where(F.col("_s").isin(*seasons_in) & F.col("_y").isNotNull()).select("_x", "_y"))
+            return [((mode, kind, s), scored(model, mode, s)) for mode, s in tests[seasons_in]]
+
+        tests: dict[tuple[int, ...], list[tuple[str, int]]] = {}
+        for mode in ("out_of_season", "cross_season"):
+            for s in seasons:
+                own = inside(mode, s)
+                n_test = sizes[s - 1]["z"] if mode == "cross_season" and s - 1 in sizes else sizes[s]["y"] if mode != "cross_season" and s in sizes else 0
+                if n_test >= least_test and sum(sizes[k]["y"] for k in own) >= least_train:
+                    tests.setdefault(own, []).append((mode, s))
         with ThreadPoolExecutor(at_once) as pool:
-            found = list(pool.map(one, tasks))
+            found = [f for fs in pool.map(one, [(k, own) for own in tests for k in trees]) for f in fs]
     finally:
         ready.unpersist()
     out = []

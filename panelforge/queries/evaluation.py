@@ -13,6 +13,7 @@ from ..operators import trees as T
 from ..operators import windows as W
 from ..plans import season as S
 from ..session import table
+from ..sources.tables import cut
 from .base import ALL, panel, rounded
 from .modeling import FEATURES, _TOLD, _cells, _held_out_sql, _scored
 
@@ -185,8 +186,8 @@ HELD_OUT, TREES = [1998, 1999, 2000, 2001], {"forest": 20, "boosted": 20}
 @query()
 def m8_held_out_trees(spark, sf_dir):
     """Both ensembles out of season and across seasons beside the ridge fit of the same seasons, with how far they are ahead."""
-    p = panel(spark, sf_dir)
-    data = _cells(spark, sf_dir, FEATURES)
+    p = cut(panel(spark, sf_dir).select("entity", "season", *FEATURES, "target"))
+    data = _cells(spark, sf_dir, FEATURES, p=p)
     ridge = {m: H.evaluate(data, FEATURES, m, seasons=HELD_OUT)[-1]["r"] for m in ("out_of_season", "cross_season")}
     rows = T.held_out(p, FEATURES, "target", HELD_OUT, TREES, cohort=F.col("k_pct") > 0.5)
     for r in rows:

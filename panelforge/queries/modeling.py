@@ -143,8 +143,8 @@ def _cross_score(row: dict) -> float | None:
     return None if row["r"] is None else 3 * row["r"] - 0.5 * abs(row["bias_hi"] or 0.0)
 
 
-def _cells(spark, sf_dir, features, extra=None):
-    p = panel(spark, sf_dir).withColumns(extra or {})
+def _cells(spark, sf_dir, features, extra=None, p=None):
+    p = (panel(spark, sf_dir) if p is None else p).withColumns(extra or {})
     return H.cells(p, features, "target", cohorts={"hi": F.col("k_pct") > 0.5, "lo": F.col("k_pct") < 0.45}, fold=L.key_fold(5, "entity", "season"))
 
 

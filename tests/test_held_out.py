@@ -143,3 +143,34 @@ def test_one_scan(spark, small):
 def test_empty_panel(spark):
     cells = H.cells(frame(spark, panel().head(0)), FEATURES, "y")
     assert H.evaluate(cells, ["a"])[-1]["n"] == 0 and H.eliminate(cells, FEATURES, lambda r: r["r"]) == []
+
+
+def test_trees_fit_once_on_a_partition_a_core(spark, monkeypatch):
+    """However many shuffle partitions there are, a fit has a task a core, and equal training seasons share one fit."""
+    from panelforge.operators import trees as T
+
+    seen = []
+
+    class Mean:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("prediction", F.lit(1.0))
+
+    d = panel().dropna(subset=["a", "y"])
+    monkeypatch.setitem(T.MODELS, "mean", lambda trees: Mean())
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = T.held_out(frame(spark, d), ["a"], "y", [2004, 2005], {"mean": 1})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    n = {s: int((d.season < s).sum()) for s in (2004, 2005)}
+    assert sorted(seen) == sorted((spark.sparkContext.defaultParallelism, m) for m in (n[2004], n[2005], int((d.season != 2004).sum())))
+    now = d[d.season.isin([2004, 2005])]
+    pairs = d.assign(season=d.season + 1).merge(d, on=["entity", "season"], suffixes=("_before", ""))
+    assert [(r["mode"], r["n"]) for r in rows] == [("out_of_season", len(now)), ("cross_season", int(pairs.season.isin([2004, 2005]).sum()))]
